@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_secret_scan": secrets.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
