@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets
+from . import chat, mixing, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat.op1_chat_format,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_pack_buckets": packing.op10_pack_buckets,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.OP1_SQL,
+    "op4_mix_sources": mixing.OP4_SQL,
     "op6_secret_scan": secrets.OP6_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
