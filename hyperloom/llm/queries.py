@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, quality, secrets
+from . import chat, fingerprint, html, mixing, packing, quality, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
+    "op3_token_counts": tokens.op3_token_counts,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_html_extract": html.op8_html_extract,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_pack_buckets": packing.op10_pack_buckets,
 }
