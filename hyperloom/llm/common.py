@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
+__all__ = ["NOT_SPACE", "SPACE", "durable", "fresh", "table", "words"]
+
 #: Java/RE2 class of the white space that separates words: space, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-_OWN_FOLDER: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,27 +31,3 @@ def fresh(df: DataFrame, stem: str) -> str:
 def words(text: Column) -> Column:
     """Maximal runs of non-space characters; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="hyperloom-"))
-    return _OWN_FOLDER[0]
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    Unlike a local checkpoint this survives lost executors; unlike an RDD
-    checkpoint the rows stay columnar and compressed.
-    """
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/hyperloom/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, html, mixing, packing, quality, secrets, tokens
+from . import chat, fingerprint, html, mixing, neardup, packing, quality, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_html_extract": html.op8_html_extract,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_pack_buckets": packing.op10_pack_buckets,
