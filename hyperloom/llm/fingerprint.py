@@ -6,8 +6,9 @@ xxhash of that form. Inside equal digests the canonical bytes are compared: the
 grouping key is digest and bytes together, so two forms that share a digest
 count as different, and their fingerprints get a suffix.
 
-The grouping moves compressed canonical bytes, folded by task before they move;
-equal forms compress to equal bytes, so comparing those is comparing the forms.
+Only documents whose digest occurs again are compared. Their compressed canonical
+bytes move, folded by task before; equal forms compress to equal bytes, so
+comparing those is comparing the forms.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; rows
 with equal ids are ordered by their text's hash; a row without an id has itself
@@ -27,11 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 #: Most digests with different forms that travel to the tasks; beyond it digests are widened.
 MOST_COLLISIONS = 1000
+#: Shared digests up to this many are broadcast to the scan, more are joined by shuffle.
+MOST_BROADCAST_DIGESTS = 500_000
 ROWS_PER_RANGE, MOST_RANGES = 500, 20_000
+#: The compressed texts are most of what this operator writes to disk.
+LEVEL = 3
 
 
 def canonical(text: str) -> bytes:
@@ -48,20 +53,31 @@ def digest(form: bytes, bits: int = 128, wide: bool = False) -> str:
 
 
 def exact_groups(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128, wide: bool = False) -> DataFrame:
-    """One row per canonical form: digest, form (compressed), first doc_id, n_docs."""
+    """One row per canonical form among documents that share a digest: digest, form (compressed), first doc_id, n_docs.
 
-    def run(batches):
-        zip_ = zstandard.ZstdCompressor(level=3)
+    Digests alone show which buckets hold several documents; only those
+    documents' forms move to be compared.
+    """
+
+    def add_digest(batches):
         for batch in batches:
-            forms = [canonical(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([digest(f, bits, wide) for f in forms], pa.string()), pa.array([zip_.compress(f) for f in forms], pa.binary())],
-                ["doc_id", "digest", "form"],
-            )
+            found = [digest(canonical(t), bits, wide) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["doc_id", "text", "digest"])
+
+    def add_form(batches):
+        zip_ = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            forms = [zip_.compress(canonical(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(forms, pa.binary())], ["doc_id", "digest", "form"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest string, form binary")
-    return rows.groupBy("digest", "form").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    digests = rows.mapInArrow(add_digest, f"doc_id {kind}, text string, digest string")
+    shared = durable(digests.groupBy("digest").count().where("count > 1").select("digest"))
+    few = shared.limit(MOST_BROADCAST_DIGESTS + 1).count() <= MOST_BROADCAST_DIGESTS
+    same = digests.join(F.broadcast(shared) if few else shared, "digest", "left_semi").select("doc_id", "text", "digest")
+    forms = same.mapInArrow(add_form, f"doc_id {kind}, digest string, form binary")
+    return forms.groupBy("digest", "form").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
 
 
 def collisions(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128) -> dict[tuple[str, bytes], int] | None:
@@ -96,7 +112,7 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
     last = len(bounds) - 1
 
     def deal(batches):
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             doc, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             part, head, i_d, tie, z = [], [], [], [], []
@@ -128,7 +144,7 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
     )
 
     def edit(batches):
-        zip_, unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        zip_, unzip = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         now = None  # (part, doc_id, text, form) that waits for its next
 
         def done(cur, nxt, form):
