@@ -26,10 +26,11 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     while (now := _state(e)) != before:
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # Minima are written first: a join of two shuffles can split a hub's edges, one with an aggregate can't.
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        large = durable(large.where("a <> b").distinct())
+        low = durable(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"))
         small = large.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = durable(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
