@@ -145,7 +145,8 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     rows = reps.select("rid", F.posexplode("near_bands").alias("band", "key"))
     drawn = F.struct(F.xxhash64("rid", "band").alias("h"), F.col("rid"))
     hubs = rows.groupBy("band", "key").agg(F.min("rid").alias("low"), F.max(drawn).alias("drawn"), F.count("*").alias("n")).where("n > 1")
-    hubs = hubs.select("band", "key", "low", F.when(F.col("band") % RANDOM_HUB_EVERY == 0, F.col("drawn.rid")).alias("drawn"))
+    # Written first, as below: a join of two shuffles can split a large bucket, one with an aggregate's output can't.
+    hubs = durable(hubs.select("band", "key", "low", F.when(F.col("band") % RANDOM_HUB_EVERY == 0, F.col("drawn.rid")).alias("drawn")))
     both = rows.join(hubs, ["band", "key"]).select("rid", F.explode(F.array("low", "drawn")).alias("hub")).where("hub IS NOT NULL AND hub <> rid")
     return both.select(F.greatest("rid", "hub").alias("a"), F.least("rid", "hub").alias("b")).distinct()
 
@@ -195,7 +196,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
 def classes(sketch: DataFrame, least: float = LEAST) -> DataFrame:
     """(rid, near_id, root, is_exact_copy) for every row of ``sketched``."""
     light = sketch.select("rid", "near_id", "near_exact")
-    exact = light.where("near_exact IS NOT NULL").groupBy("near_exact").agg(F.min("rid").alias("rep"))
+    exact = durable(light.where("near_exact IS NOT NULL").groupBy("near_exact").agg(F.min("rid").alias("rep")))
     reps = durable(sketch.select("rid", "near_sig", "near_bands").join(exact.select(F.col("rep").alias("rid")), "rid", "left_semi"))
     pairs = durable(_agree(candidate_pairs(reps), reps))
     used = durable(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
     """Rows (doc_id, class_id, is_exact_copy, class_size), one per document."""
     sketch = sketched(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     rows = durable(classes(sketch, least))
-    ids = rows.groupBy("root").agg(F.min("near_id").alias("class_id"), F.count("*").alias("class_size"))
+    ids = durable(rows.groupBy("root").agg(F.min("near_id").alias("class_id"), F.count("*").alias("class_size")))
     return rows.join(ids, "root").select(F.col("near_id").alias("doc_id"), "class_id", "is_exact_copy", "class_size")
 
 

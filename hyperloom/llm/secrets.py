@@ -107,7 +107,8 @@ def ownership(cands: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFra
 def classified(cands: DataFrame, key: list[str], example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row per span: ``key`` columns, start, rank, end and class (live, example, weak)."""
     rows = cands.select(*key, F.explode("found").alias("s")).select(*key, "s.*")
-    own = ownership(cands, example_owners).select("hash", "is_example")
+    # Written first: a join of two shuffles can split a value that very many rows hold.
+    own = durable(ownership(cands, example_owners).select("hash", "is_example"))
     kind = F.when(F.col("is_example"), "example").when(F.col("live_look"), "live").otherwise("weak")
     return rows.join(own, "hash", "left").select(*key, "start", "rank", "end", kind.alias("class"))
 
