@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.crosswalk import Tables, oracle
-from . import cohort_queries, network_queries
+from . import cohort_queries, linkpred_queries, network_queries
 
-DEFS = network_queries.DEFS | cohort_queries.DEFS
+DEFS = network_queries.DEFS | cohort_queries.DEFS | linkpred_queries.DEFS
 
 
 def _query(build) -> Callable[[SparkSession, str], DataFrame]:
