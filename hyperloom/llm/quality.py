@@ -149,10 +149,13 @@ def ablation(led: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 def keep_clean(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns unchanged."""
-    name = fresh(docs, "ledger")
-    led = with_ledger(docs, name, text)
+    name, row = fresh(docs, "ledger"), fresh(docs, "ledger_row")
+    # The row number keeps the optimiser from moving the filter below the ledger's
+    # steps, which would write out every measurement again inside the condition.
+    led = with_ledger(docs, name, text).withColumn(row, F.monotonically_increasing_id())
     bits = F.col(name)["rule_bits"]
-    return led.filter(passes(bits, "base@1") & passes(bits, policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = led.filter((F.col(row) >= 0) & passes(bits, "base@1") & passes(bits, policy))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -120,12 +120,12 @@ def redact(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo=(
     with candidates take part in a shuffle.
     """
     key, bad = fresh(docs, "text_hash"), fresh(docs, "bad_spans")
-    cands = durable(candidates(docs, doc_id, text, owner, repo).filter(F.size("found") > 0))
+    t = F.col(f"`{text}`")
+    some = F.coalesce(t, F.lit("")).rlike("|".join([ASSIGN, ACCESS, HEX, VENDOR]))
+    cands = durable(candidates(docs.filter(some), doc_id, text, owner, repo))
     bad_rows = classified(cands, ["doc_id", "text_hash"]).filter(F.col("class") != "example").distinct()
     per_text = bad_rows.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     per_text = per_text.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.col("spans").alias(bad))
-    t = F.col(f"`{text}`")
-    some = F.coalesce(t, F.lit("")).rlike("|".join([ASSIGN, ACCESS, HEX, VENDOR]))
     hit = docs.filter(some).withColumn(key, F.xxhash64(t)).join(per_text, F.col(f"`{doc_id}`").eqNullSafe(F.col("k_id")) & (F.col(key) == F.col("k_hash")), "left")
     # Spans may overlap: the part of the text after each span starts where the furthest end so far is.
     reach = F.transform(F.col(bad), lambda s, i: F.array_max(F.transform(F.slice(F.col(bad), F.lit(1), i + 1), lambda x: x["end"])))
