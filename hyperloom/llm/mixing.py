@@ -64,18 +64,19 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
 
 
 def replicate(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: int = SEED, alpha: float = ALPHA, total: float | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """``docs`` exploded by count and in global random order, plus copy, n_copies, rate, order_key."""
+    """``docs`` exploded by count and in global random order, plus copy, n_copies, rate, order_key
+    (under other names where ``docs`` has those already)."""
     by_source = rates(docs, source, alpha, total, weights)
     few = by_source.limit(MOST_BROADCAST_SOURCES + 1).count() <= MOST_BROADCAST_SOURCES
-    side = by_source.select("mix_source", "rate")
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    k = fresh(docs, "mix_key")
-    df = docs.withColumn(k, key).join(F.broadcast(side) if few else side, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("mix_source")))
-    df = df.withColumn("n_copies", poisson_inverse(uniform(F.col(k), seed), F.col("rate"))).filter(F.col("n_copies") > 0)
-    df = df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    df = df.withColumn("order_key", F.md5(F.concat(F.lit(f"{seed}/"), F.col(k), F.lit("/"), F.col("copy").cast("string"))))
+    key, side_source, rate, count, copy, order = (fresh(docs, x) for x in ("mix_key", "mix_source", "rate", "n_copies", "copy", "order_key"))
+    side = by_source.select(F.col("mix_source").alias(side_source), F.col("rate").alias(rate))
+    known = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    df = docs.withColumn(key, known).join(F.broadcast(side) if few else side, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(side_source)))
+    df = df.withColumn(count, poisson_inverse(uniform(F.col(key), seed), F.col(rate))).filter(F.col(count) > 0)
+    df = df.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    df = df.withColumn(order, F.md5(F.concat(F.lit(f"{seed}/"), F.col(key), F.lit("/"), F.col(copy).cast("string"))))
     # Equal hashes of a random key: partitions are even, and their order is the order of the key inside each.
-    return df.drop(k, "mix_source").repartition("order_key").sortWithinPartitions("order_key")
+    return df.drop(key, side_source).repartition(order).sortWithinPartitions(order)
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
