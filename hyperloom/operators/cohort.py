@@ -281,13 +281,14 @@ def paired_effect(rows: DataFrame, keys: list[str], clustered: bool = True) -> D
         F.stddev_samp(d).alias("sd"),
     )
     if clustered:
-        g = rows.groupBy(*keys, "control").agg(F.sum(d).alias("s"), F.count("*").alias("k"))
-        g = g.groupBy(*keys).agg(F.count("*").alias("g"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("k")).alias("sk"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        base = base.join(g, keys) if keys else base.crossJoin(g)
+        own = rows.groupBy(*keys, "control").agg(F.sum(d).alias("_s"), F.count("*").alias("_k"))
+        square = lambda x, y: F.sum(F.col(x) * F.col(y))
+        own = own.groupBy(*keys).agg(F.count("*").alias("_g"), square("_s", "_s").alias("_ss"), square("_s", "_k").alias("_sk"), square("_k", "_k").alias("_kk"))
+        base = base.join(own, keys) if keys else base.crossJoin(own)  # one row each without keys
         m = F.col("mean_difference")
-        square = F.greatest(F.col("ss") - 2 * m * F.col("sk") + m * m * F.col("kk"), F.lit(0.0))
-        factor = F.when(F.col("g") > 1, F.col("g") / (F.col("g") - 1)).otherwise(1.0)
-        se, method = F.sqrt(factor * square) / F.col("pairs"), "control-cluster-robust"
+        total = F.greatest(F.col("_ss") - 2 * m * F.col("_sk") + m * m * F.col("_kk"), F.lit(0.0))
+        factor = F.when(F.col("_g") > 1, F.col("_g") / (F.col("_g") - 1)).otherwise(1.0)
+        se, method = F.sqrt(factor * total) / F.col("pairs"), "control-cluster-robust"
     else:
         se, method = F.col("sd") / F.sqrt("pairs"), "paired"
     out = base.withColumn("standard_error", se)
