@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import durable
 
-__all__ = ["NOT_SPACE", "SPACE", "durable", "fresh", "table", "words"]
+__all__ = ["NOT_SPACE", "SPACE", "durable", "fresh", "slices", "table", "words"]
 
 #: Java/RE2 class of the white space that separates words: space, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,3 +31,10 @@ def fresh(df: DataFrame, stem: str) -> str:
 def words(text: Column) -> Column:
     """Maximal runs of non-space characters; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of few rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

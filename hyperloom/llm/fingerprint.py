@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, slices, table
 
 #: Most digests with different forms that travel to the tasks; beyond it digests are widened.
 MOST_COLLISIONS = 1000
@@ -60,13 +60,13 @@ def exact_groups(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128,
     """
 
     def add_digest(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [digest(canonical(t), bits, wide) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["doc_id", "text", "digest"])
 
     def add_form(batches):
         zip_ = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
+        for batch in slices(batches):
             forms = [zip_.compress(canonical(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(forms, pa.binary())], ["doc_id", "digest", "form"])
 
@@ -113,7 +113,7 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
 
     def deal(batches):
         zip_ = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
+        for batch in slices(batches):
             doc, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             part, head, i_d, tie, z = [], [], [], [], []
 
@@ -155,7 +155,7 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
             return cur[1], len(t), sha, mark(cur[3], zip_), mark(e, zip_), float(cur[3] == e), float(cur[3] == form)
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for part, head, d, z in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
                 if head and (now is None or now[0] != part):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: Hosts up to this many travel as one broadcast table of winners (two numbers and a name each).
 MOST_BROADCAST_HOSTS = 50_000
@@ -241,7 +241,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """From (host, html): the winning path per host as (host, path, label, votes)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows += [(host, *v) for v in Page(html or "").votes()]
@@ -264,7 +264,7 @@ def extract(pages: DataFrame, page_id="page_id", url="url", html="html") -> Data
     both = rows.join(F.broadcast(winners) if few else winners, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "label", "path", "html")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [Page(h).text(p) if h else "" for p, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], ["page_id", "url", "host_path", "text"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import durable, fresh, table
+from .common import durable, fresh, slices, table
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -116,7 +116,7 @@ def sketched(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             exact, sigs, bands = [], [], []
             for t in batch.column("near_text").to_pylist():
                 words = shingler.words(t or "")
@@ -155,7 +155,7 @@ def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in LEAST_AGREE slots or more."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = [
                 int((np.frombuffer(x, dtype=np.uint16) == np.frombuffer(y, dtype=np.uint16)).sum()) >= LEAST_AGREE
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     def run(batches):
         shingler = Shingler()
         last: tuple[int, np.ndarray] | None = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for a, b, s, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if last is None or last[0] != b:

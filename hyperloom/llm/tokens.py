@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 LIMIT = 2048
 GROUP_BYTES = 1 << 19
@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> Da
 
     def run(batches):
         counter = _counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             counts: list[int] = []
             for a, b in groups(texts):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 MOST_POSITIVE, MOST_NEGATIVE = 3000, 5000
 DIMENSIONS = 1 << 18
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = _sample(labels)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             packed, stops = [], []
             known: dict[str, list[int]] = {}
             for t in batch.column(1).to_pylist():
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> DataFr
 
     def run(batches):
         scorer = model.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 found = scorer(t or "")
@@ -212,7 +212,7 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5, doc_id="doc_id", t
 
     def run(batches):
         scorer = model.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out += [(d, a, b, float(1 / (1 + np.exp(-z))), t[a:b]) for a, b, z in scorer(t or "") if z >= cut]
