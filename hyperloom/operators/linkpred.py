@@ -162,7 +162,11 @@ def embeddings(entries: DataFrame, nodes: DataFrame, c: Config) -> DataFrame:
         values, vectors = np.linalg.eigh(gram(w))
         keep = values > max(values.max(), 1e-300) * 1e-12
         scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
-        v = durable(times(w, (vectors * scale)[:, ::-1]))
+        basis = (vectors * scale)[:, ::-1]
+        v = durable(times(w, basis))
+    # The Gram matrix of A A' v has fourth powers of singular values: rows of U S, as a truncated SVD gives them.
+    if c.iterations:
+        v = times(v, np.diag(np.where(keep, np.where(keep, values, 1.0) ** 0.25, 0.0)[::-1]))
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b))
     unit = F.transform("x", lambda a: F.when(length > 0, a / length).otherwise(0.0).cast("float"))
     return nodes.select("node_id", "node_index").join(v, "node_index").select("node_id", unit.alias("embedding"))
