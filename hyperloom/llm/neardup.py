@@ -29,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import durable, fresh, slices, table
+from .common import durable, slices, table
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -111,8 +112,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return (mix(x + np.arange(BANDS, dtype=np.uint64)) >> U(1)).astype(np.int64)
 
 
-def sketched(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """``docs`` as one column ``row`` of all its columns, plus id, exact (same-words key), sig, bands."""
+def sketched(docs: DataFrame, doc_id="doc_id", text="text", carry: bool = False) -> DataFrame:
+    """(near_id, near_text, near_exact, near_sig, near_bands, rid), one per document: near_exact
+    is the key of texts with the same words. With ``carry`` also ``row``, all columns of
+    ``docs``; the text is then stored there only."""
 
     def run(batches):
         shingler = Shingler()
@@ -128,16 +131,17 @@ def sketched(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
                 sig = signature(e, 1.0 + np.log2(n))
                 sigs.append((mix(sig) & U(0xFFFF)).astype(np.uint16).tobytes())
                 bands.append(band_keys(sig))
-            cols = [batch.column(c) for c in names] + [pa.array(exact, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "near_exact", "near_sig", "near_bands"])
+            cols = [batch.column(c) for c in kept] + [pa.array(exact, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, "near_exact", "near_sig", "near_bands"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col(f"row.`{doc_id}`").alias("near_id"), F.col(f"row.`{text}`").alias("near_text"))
-    names = ["near_id", "near_text"] if set(docs.columns) <= {doc_id, text} else ["row", "near_id", "near_text"]
-    kept = rows.select(*names)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-    out = kept.mapInArrow(run, f"{fields}, near_exact binary, near_sig binary, near_bands array<bigint>")
-    return durable(out.withColumn("rid", F.monotonically_increasing_id()))
+    kept = ["row", "near_id"] if carry else ["near_id", "near_text"]
+    rows = rows.select(*dict.fromkeys([*kept, "near_text"]))
+    added = T.StructType().add("near_exact", "binary").add("near_sig", "binary").add("near_bands", T.ArrayType(T.LongType()))
+    out = rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *added.fields]))
+    out = durable(out.withColumn("rid", F.monotonically_increasing_id()))
+    return out.withColumn("near_text", F.col(f"row.`{text}`")) if carry else out
 
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
@@ -219,8 +223,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
 
 def keep_one(docs: DataFrame, doc_id="doc_id", text="text", least: float = LEAST) -> DataFrame:
     """``docs`` with one document of each class: that of the least id."""
-    d, t = fresh(docs, "near_key"), fresh(docs, "near_body")
-    sketch = sketched(docs.withColumn(d, F.col(f"`{doc_id}`")).withColumn(t, F.col(f"`{text}`")), d, t)
+    sketch = sketched(docs, doc_id, text, carry=True)
     rows = durable(classes(sketch, least))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("near_id").isNull().alias("n"), F.col("near_id"), F.col("rid"))).alias("f")).select(F.col("f.rid").alias("rid"))
     gone = durable(rows.join(first, "rid", "left_anti").select("rid"))
