@@ -184,6 +184,10 @@ DEFS: dict[str, tuple] = {
     "horizon_bound": (_s(lambda s: s.bound), BOUND + " SELECT * FROM hb"),
     "treatment_eligible": (_s(lambda s: s.eligible), ELIGIBLE + " SELECT * FROM el"),
     "treated_sample": (_s(lambda s: s.treated), TREATED + " SELECT * FROM tr"),
+    "treated_full_population": (
+        lambda t: c.treated_sample(Study(t).eligible, c.Config(treatment_rows=None)),
+        ELIGIBLE + f" SELECT *, row_number() OVER (ORDER BY {KEY('node_id', CONFIG.seed)}, node_id) AS treatment_id FROM el",
+    ),
     "control_pool": (_s(lambda s: s.pool), POOL + " SELECT * FROM cp"),
     "risk_set_controls": (_s(lambda s: s.controls), CONTROLS + " SELECT * FROM rc"),
     "observations": (_s(lambda s: s.obs), OBS + " SELECT * FROM ob"),

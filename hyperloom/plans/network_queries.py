@@ -166,6 +166,12 @@ DEFS: dict[str, tuple] = {
     "follow_wcc": (lambda t: kcore.size_histogram(connected_components(t.follows_sparse, "src", "dst")), REACH + SIZES, True),
     "pack_components": (lambda t: kcore.size_histogram(kcore.pack_components(t.memberships_sparse)), PACK_REACH + SIZES, True),
     "follow_scc": (lambda t: kcore.size_histogram(scc.strongly_connected_components(t.follows_sparse)), REACH_DIRECTED + SIZES, True),
+    "giant_component": (
+        lambda t: community.giant_component(t.follows_sparse.selectExpr("src AS node_a", "dst AS node_b").distinct(), connected_components(t.follows_sparse, "src", "dst")),
+        REACH + """, best AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+        SELECT DISTINCT src AS node_a, dst AS node_b FROM follows_sparse JOIN comp ON src = node JOIN best USING (component)""",
+        True,
+    ),
     "kcore": (lambda t: kcore.removal_core(t.memberships_sparse.select("pack_id", "member_id").distinct()), None),
     "kcore_distribution": (lambda t: kcore.core_distribution(kcore.removal_core(t.memberships_sparse.select("pack_id", "member_id").distinct())), None),
     "kcore_monotone": (lambda t: kcore.monotone_core(t.memberships_sparse.select("pack_id", "member_id").distinct()), None),
