@@ -7,10 +7,12 @@
    arrival falls into one of ``SLOTS`` slots, and a slot keeps its first arrival.
    Processes stop once they are later than every slot's first arrival. Two texts
    agree in a slot with the probability Jaccard similarity of their weighted sets.
-3. Banding: ``BANDS`` groups of ``ROWS`` slots are bucket keys. A bucket of any
-   size gives each member at most two partners: its least member and, in every
-   third band, a member drawn at random for that band. Both come from aggregates
-   that fold by task, never from a listed bucket, so pairs grow with members.
+3. Banding: ``BANDS`` groups of ``ROWS`` slots are bucket keys. First each member
+   of a bucket is compared with hubs only: the least member, the one whose buckets
+   are the fullest (the original of a group of edited copies) and, in every third
+   band, one drawn at random. Then every pair of a bucket that these links leave
+   in different classes is compared too, in blocks of bounded size, so no pair of a
+   bucket is left out. The second part grows with the squares of such buckets.
 4. Verification: a pair whose signatures agree too little is dropped (the bound is
    nine standard deviations below the threshold), the others are compared by the
    exact Jaccard similarity of their shingle sets.
@@ -38,6 +40,8 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 RANDOM_HUB_EVERY = 3
+#: Buckets up to SMALL members are joined with themselves, larger ones compared in pairs of blocks of about BLOCK members.
+SMALL, BLOCK = 32, 1024
 #: Pairs that agree in fewer of the SLOTS can't have the similarity but by a chance of 1e-15.
 LEAST_AGREE = 50
 #: Representatives in pairs up to this many are sent to the scan of texts, more are joined by shuffle.
@@ -144,17 +148,63 @@ def sketched(docs: DataFrame, doc_id="doc_id", text="text", carry: bool = False)
     return out.withColumn("near_text", F.col(f"row.`{text}`")) if carry else out
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """From (rid, near_sig, near_bands): distinct pairs (a, b), a > b, of bucket members and their hubs."""
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """From (rid, near_bands): (rid, band, key) of the buckets with two members or more."""
     rows = reps.select("rid", F.posexplode("near_bands").alias("band", "key"))
+    sizes = durable(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = durable(rows.join(sizes, ["band", "key"]))
+    crowds = durable(rows.groupBy("rid").agg(F.sum("n").alias("crowd")))
+    return durable(rows.drop("n").join(crowds, "rid"))
+
+
+def candidate_pairs(shared: DataFrame) -> DataFrame:
+    """From ``shared_buckets``: distinct pairs (a, b), a > b, of bucket members and their hubs."""
     drawn = F.struct(F.xxhash64("rid", "band").alias("h"), F.col("rid"))
-    hubs = rows.groupBy("band", "key").agg(F.min("rid").alias("low"), F.max(drawn).alias("drawn"), F.count("*").alias("n")).where("n > 1")
+    hubs = shared.groupBy("band", "key").agg(F.min("rid").alias("low"), F.max(F.struct("crowd", "rid")).alias("full"), F.max(drawn).alias("drawn"))
     # Written first, as below: a join of two shuffles can split a large bucket, one with an aggregate's output can't.
-    hubs = durable(hubs.select("band", "key", "low", F.when(F.col("band") % RANDOM_HUB_EVERY == 0, F.col("drawn.rid")).alias("drawn")))
-    both = rows.join(hubs, ["band", "key"]).select("rid", F.explode(F.array("low", "drawn")).alias("hub")).where("hub IS NOT NULL AND hub <> rid")
+    drawn_rid = F.when(F.col("band") % RANDOM_HUB_EVERY == 0, F.col("drawn.rid"))
+    hubs = durable(hubs.select("band", "key", F.array("low", "full.rid", drawn_rid).alias("hubs")))
+    both = shared.join(hubs, ["band", "key"]).select("rid", F.explode("hubs").alias("hub")).where("hub IS NOT NULL AND hub <> rid")
     return both.select(F.greatest("rid", "hub").alias("a"), F.least("rid", "hub").alias("b")).distinct()
 
 
+def _cross(t: pa.Table) -> pa.Table:
+    """The agreeing pairs of two blocks of a bucket (of one block with itself if they are the same)."""
+    t = t.combine_chunks()
+    rid, comp, block = (t[c].to_numpy() for c in ("rid", "comp", "block"))
+    sigs = np.frombuffer(b"".join(t["near_sig"].to_pylist()), dtype=np.uint16).reshape(len(rid), SLOTS)
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    out_a, out_b = [], []
+    for x in left:
+        ys = right[(comp[right] != comp[x]) & ((rid[right] > rid[x]) if i == j else True)]
+        ys = ys[(sigs[ys] == sigs[x]).sum(axis=1) >= LEAST_AGREE]
+        out_a.append(np.maximum(rid[ys], rid[x])), out_b.append(np.minimum(rid[ys], rid[x]))
+    none = np.empty(0, dtype=np.int64)
+    return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+
+def open_pairs(shared: DataFrame, reps: DataFrame, comp: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of members of one bucket that are in different components and
+    whose signatures agree; ``comp``: (node, component), a node that isn't there is its own."""
+    rows = shared.select("rid", "band", "key").join(comp.withColumnRenamed("node", "rid"), "rid", "left")
+    rows = durable(rows.select("rid", "band", "key", F.coalesce("component", "rid").alias("comp")))
+    split = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    # Two members have been compared, one of them is the hub.
+    split = durable(split.where("n > 2 AND least <> most").select("band", "key", "n"))
+    rows = durable(rows.join(split, ["band", "key"]))
+    few = rows.where(F.col("n") <= small).select("band", "key", "rid", "comp")
+    pairs = few.join(few.withColumnsRenamed({"rid": "other", "comp": "other_comp"}), ["band", "key"]).where("rid > other AND comp <> other_comp")
+    pairs = _agree(durable(pairs.select(F.col("rid").alias("a"), F.col("other").alias("b")).distinct()), reps)
+    blocks = F.ceil(F.col("n") / block)
+    many = rows.where(F.col("n") > small).join(reps.select("rid", "near_sig"), "rid").withColumn("block", F.pmod(F.xxhash64("rid"), blocks))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    many = many.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    many = many.select("band", "key", "i", "j", "block", "rid", "comp", "near_sig")
+    crossed = many.groupBy("band", "key", "i", "j").applyInArrow(_cross, "a long, b long")
+    return pairs.unionByName(crossed).distinct()
+
+
 def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in LEAST_AGREE slots or more."""
 
@@ -197,17 +247,27 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def verified_of(pairs: DataFrame, sketch: DataFrame, least: float = LEAST) -> DataFrame:
+    """``verified`` with the texts of ``sketch``."""
+    used = durable(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+    side = F.broadcast(used) if used.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else used
+    return verified(pairs, sketch.select("rid", "near_text").join(side, "rid", "left_semi"), least)
+
+
 def classes(sketch: DataFrame, least: float = LEAST) -> DataFrame:
     """(rid, near_id, root, is_exact_copy) for every row of ``sketched``."""
     light = sketch.select("rid", "near_id", "near_exact")
     exact = durable(light.where("near_exact IS NOT NULL").groupBy("near_exact").agg(F.min("rid").alias("rep")))
     reps = durable(sketch.select("rid", "near_sig", "near_bands").join(exact.select(F.col("rep").alias("rid")), "rid", "left_semi"))
-    pairs = durable(_agree(candidate_pairs(reps), reps))
-    used = durable(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
-    side = F.broadcast(used) if used.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else used
-    texts = sketch.select("rid", "near_text").join(side, "rid", "left_semi")
-    links = durable(verified(pairs, texts, least))
-    comp = connected_components(links)
+    shared = shared_buckets(reps)
+    pairs = durable(_agree(candidate_pairs(shared), reps))
+    links = durable(verified_of(pairs, sketch, least))
+    comp = durable(connected_components(links))
+    rest = durable(open_pairs(shared, reps, comp).join(pairs, ["a", "b"], "left_anti"))
+    more = durable(verified_of(rest, sketch, least))
+    if not more.isEmpty():
+        tree = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = connected_components(tree.unionByName(more.select("a", "b")))
     rows = light.join(exact, "near_exact", "left").withColumn("rep", F.coalesce("rep", "rid"))
     rows = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return rows.select("rid", "near_id", F.coalesce("component", "rep").alias("root"), (F.col("rid") != F.col("rep")).alias("is_exact_copy"))

@@ -250,3 +250,54 @@ def test_html_consensus_overrides_a_misleading_page(spark):
     data = [(i, "http://a/x", page("long article text " * 9, "short")) for i in range(5)] + [(9, "http://a/y", page("brief news", "a very long quiz " * 30))]
     out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert out[9] == "brief news"
+
+
+def star(n, seed=0, words=400, edits=6):
+    """An original and n copies with own edits: about 0.86 to the original, 0.74 to each other."""
+    import random
+
+    rng = random.Random(seed)
+    text = [f"w{seed}x{k}" for k in range(words)]
+    copies = []
+    for c in range(n):
+        copy = list(text)
+        for at in range(edits):
+            copy[(at * words // edits) + rng.randrange(8, words // edits - 8)] = f"e{seed}c{c}x{at}"
+        copies.append(" ".join(copy))
+    return [*copies[: n // 2], " ".join(text), *copies[n // 2 :]]
+
+
+def test_star_of_edited_copies_is_one_class(spark):
+    from hyperloom.llm import neardup
+
+    docs = spark.createDataFrame(list(enumerate(star(300))), "doc_id long, text string").coalesce(1)
+    rows = neardup.near_duplicates(docs).collect()
+    assert len(rows) == 301 and {r.class_id for r in rows} == {0}
+
+
+def test_open_pairs_leave_no_pair_of_a_bucket(spark):
+    """With small blocks: every pair of a bucket is in one component or comes out, if the signatures agree."""
+    import itertools
+
+    import numpy as np
+
+    from hyperloom.llm import neardup
+
+    docs = spark.createDataFrame(list(enumerate(star(60) + star(20, 1))), "doc_id long, text string")
+    sketch = neardup.sketched(docs)
+    shared = neardup.shared_buckets(sketch)
+    comp = spark.createDataFrame([(r.rid, r.rid if r.rid % 3 else -1) for r in sketch.collect()], "node long, component long")
+    got = {(r.a, r.b) for r in neardup.open_pairs(shared, sketch, comp, small=4, block=8).collect()}
+    one = {r.node: r.component for r in comp.collect()}
+    sig = {r.rid: np.frombuffer(r.near_sig, dtype=np.uint16) for r in sketch.collect()}
+    buckets = {}
+    for r in shared.collect():
+        buckets.setdefault((r.band, r.key), []).append(r.rid)
+    want = {
+        (max(p), min(p))
+        for m in buckets.values()
+        if len(m) > 2
+        for p in itertools.combinations(m, 2)
+        if one[p[0]] != one[p[1]] and (sig[p[0]] == sig[p[1]]).sum() >= neardup.LEAST_AGREE
+    }
+    assert max(map(len, buckets.values())) > 16 and got == want
