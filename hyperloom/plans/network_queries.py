@@ -172,9 +172,17 @@ DEFS: dict[str, tuple] = {
         SELECT DISTINCT src AS node_a, dst AS node_b FROM follows_sparse JOIN comp ON src = node JOIN best USING (component)""",
         True,
     ),
-    "kcore": (lambda t: kcore.removal_core(t.memberships_sparse.select("pack_id", "member_id").distinct()), None),
-    "kcore_distribution": (lambda t: kcore.core_distribution(kcore.removal_core(t.memberships_sparse.select("pack_id", "member_id").distinct())), None),
-    "kcore_monotone": (lambda t: kcore.monotone_core(t.memberships_sparse.select("pack_id", "member_id").distinct()), None),
+    # The whole tables' components; those above are of the sparse ones, which recursive SQL can hold.
+    "follow_wcc_whole": (lambda t: kcore.size_histogram(connected_components(t.follows, "src", "dst")), None),
+    "pack_components_whole": (lambda t: kcore.size_histogram(kcore.pack_components(t.unique_memberships)), None),
+    "follow_scc_whole": (lambda t: kcore.size_histogram(scc.strongly_connected_components(t.follows)), None),
+    "giant_component_whole": (
+        lambda t: community.giant_component(t.follows.selectExpr("src AS node_a", "dst AS node_b").distinct(), connected_components(t.follows, "src", "dst")),
+        None,
+    ),
+    "kcore": (lambda t: kcore.removal_core(t.unique_memberships), None),
+    "kcore_distribution": (lambda t: kcore.core_distribution(kcore.removal_core(t.unique_memberships)), None),
+    "kcore_monotone": (lambda t: kcore.monotone_core(t.unique_memberships), None),
     "configuration_model": (configuration, None),
     "communities": (communities, None),
     "kendall_topk": (

@@ -16,3 +16,48 @@ def test_matches_sql(spark, name):
 
 def test_every_query_is_named_once():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_components_and_cores_of_the_whole_tables(spark):
+    from collections import Counter
+
+    from hyperloom.operators import kcore, scc
+    from hyperloom.sources.crosswalk import Tables
+
+    t = Tables(spark, SF)
+    follows = {(r.src, r.dst) for r in t.follows.select("src", "dst").collect()}
+    packs = [(r.pack_id, r.member_id) for r in t.unique_memberships.collect()]
+
+    def components(edges):
+        parent = {x: x for e in edges for x in e}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in parent}
+
+    def sizes(of):
+        return Counter(Counter(of.values()).values())
+
+    def histogram(name):
+        return {r.component_size: r.component_count for r in catalog.QUERIES[name](spark, SF).collect()}
+
+    first = {}
+    for p, m in packs:
+        first[p] = min(m, first.get(p, m))
+    assert histogram("follow_wcc_whole") == sizes(components(follows))
+    assert histogram("pack_components_whole") == sizes(components([(first[p], m) for p, m in packs]))
+    assert histogram("follow_scc_whole") == sizes(scc.tarjan(sorted(follows)))
+    of = components(follows)
+    best = min(set(of.values()), key=lambda c: (-list(of.values()).count(c), c))
+    assert {tuple(r) for r in catalog.QUERIES["giant_component_whole"](spark, SF).collect()} == {e for e in follows if of[e[0]] == best}
+    want = kcore.peel(packs)
+    assert {r.node_id: r.core_number for r in catalog.QUERIES["kcore"](spark, SF).collect()} == want
+    assert {r.core_number: r.node_count for r in catalog.QUERIES["kcore_distribution"](spark, SF).collect()} == Counter(want.values())
+    top = {r.node_id: r.core_number_monotone for r in catalog.QUERIES["kcore_monotone"](spark, SF).collect()}
+    assert top.keys() == want.keys() and all(want[m] <= top[m] for m in want)
