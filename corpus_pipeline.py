@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hyperloom.llm import mixing, neardup, packing, quality, secrets
+from hyperloom.llm import mixing, neardup, packing, quality, secrets, tokens
 from hyperloom.llm.common import durable, table
 
 
@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy gets its length bucket, batch and slot."""
-    return packing.pack(docs)
+    """Every copy gets its bucket by token length, batch and slot."""
+    return packing.pack(docs, tokenizer=tokens.default_path())
 
 
 STAGES = [

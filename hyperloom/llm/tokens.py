@@ -20,8 +20,9 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table
 
@@ -106,27 +107,30 @@ def groups(texts: list[str], most: int = GROUP_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
-def count_tokens(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens)."""
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def count_tokens(docs: DataFrame, path: str, doc_id="doc_id", text="text", key: Column | None = None) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_tokens), and key where one is given."""
 
     def run(batches):
         counter = _counter(path)
         for batch in slices(batches):
-            texts = batch.column(2).to_pylist()
+            texts = batch.column("text").to_pylist()
             counts: list[int] = []
             for a, b in groups(texts):
                 counts += counter.count(texts[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64())], [*kept, "n_tokens"])
 
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), t.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), *([] if key is None else [key.alias("key")]), t.alias("text"))
+    kept = rows.columns[:-1]
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("n_tokens", T.LongType())]))
 
 
 def op3_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("word_bpe_49k.json")
-    df = count_tokens(table(spark, sf_dir, "documents"), path)
+    df = count_tokens(table(spark, sf_dir, "documents"), path or default_path())
     return df.withColumn("over_limit", F.col("n_tokens") > LIMIT)

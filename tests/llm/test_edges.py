@@ -301,3 +301,16 @@ def test_open_pairs_leave_no_pair_of_a_bucket(spark):
         if one[p[0]] != one[p[1]] and (sig[p[0]] == sig[p[1]]).sum() >= neardup.LEAST_AGREE
     }
     assert max(map(len, buckets.values())) > 16 and got == want
+
+
+def test_registered_packing_counts_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from hyperloom.llm import tokens
+
+    texts = [None, "", "one two three", "日本語の文章" * 700, "日本語の文章" * 700]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, tokens.default_path()).collect()}
+    assert want[3] > 1000
+    for out in (packing.op10_pack_buckets(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.length for r in out.collect()} == want
