@@ -24,8 +24,6 @@ SEED = 20
 MOST_BROADCAST_SOURCES = 10_000
 #: Weights go with the source's share to this power: 1 leaves the mix, 0 evens it out.
 ALPHA = 0.5
-#: A rate is inverted term by term up to this count; the tail beyond it is below 1e-12 for the greatest rate.
-GREATEST_RATE = 16.0
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -50,17 +48,21 @@ def rates(docs: DataFrame, source="source", alpha: float = ALPHA, total: float |
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The least k with P(X <= k) > u, for rates up to GREATEST_RATE; greater rates add their whole part evenly."""
-    whole = F.when(rate > GREATEST_RATE, F.floor(rate - GREATEST_RATE)).otherwise(F.lit(0))
-    r = rate - whole
+    """The least k with P(X <= k) > u. Terms run over rate +- 12 deviations (and 40), beyond which less than 1e-16 lies."""
+    reach = 12 * F.sqrt(rate) + 40
+    first = F.greatest(F.floor(rate - reach), F.lit(0)).cast("long")
+    last = F.ceil(rate + reach).cast("long")
+    # The first term's logarithm by Stirling's series, where the window starts above 0, at rates over some 215.
+    x = F.greatest(first, F.lit(1)).cast("double")
+    log_factorial = x * F.log(x) - x + F.log(2 * F.lit(3.141592653589793) * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    start_term = F.when(first > 0, F.exp(x * F.log(rate) - rate - log_factorial)).otherwise(F.exp(-rate))
     step = lambda a, i: F.struct(
         (a["k"] + F.when(a["cdf"] <= u, 1).otherwise(0)).alias("k"),
-        (a["term"] * r / i).alias("term"),
-        (a["cdf"] + a["term"] * r / i).alias("cdf"),
+        (a["term"] * rate / i).alias("term"),
+        (a["cdf"] + a["term"] * rate / i).alias("cdf"),
     )
-    start = F.struct(F.lit(0).alias("k"), F.exp(-r).alias("term"), F.exp(-r).alias("cdf"))
-    most = 24 + F.ceil(4 * r).cast("int")
-    return (whole + F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["k"])).cast("long")
+    start = F.struct(first.alias("k"), start_term.alias("term"), start_term.alias("cdf"))
+    return F.aggregate(F.sequence(first + 1, last), start, step, lambda a: a["k"])
 
 
 def replicate(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: int = SEED, alpha: float = ALPHA, total: float | None = None, weights: DataFrame | None = None) -> DataFrame:

@@ -314,3 +314,28 @@ def test_registered_packing_counts_tokens(spark, tmp_path):
     assert want[3] > 1000
     for out in (packing.op10_pack_buckets(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
         assert {r.doc_id: r.length for r in out.collect()} == want
+
+
+def test_poisson_inverse_of_great_rates(spark):
+    """Against sums of exact terms, at small, middle and great rates."""
+    from fractions import Fraction
+    from math import exp, lgamma, log
+
+    rates = [0.5, 7.5, 15.9, 16.1, 20.0, 60.0, 167.0, 200.0, 250.0, 900.0, 5000.0]
+    us = [0.0, 1e-9, 0.001, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1 - 1e-9]
+    grid = spark.createDataFrame([(u, r) for r in rates for u in us], "u double, r double")
+
+    def inverse(u, r):
+        k, cdf = 0, Fraction(exp(-r))
+        while cdf <= u:
+            k += 1
+            cdf += Fraction(exp(k * log(r) - r - lgamma(k + 1)))
+        return k
+
+    for row in grid.select("u", "r", mixing.poisson_inverse(F.col("u"), F.col("r")).alias("k")).collect():
+        if row.u == 0 and row.r > 200:
+            continue  # decided by terms below 1e-16
+        assert row.k == inverse(row.u, row.r), row
+    many = spark.range(20000).select(mixing.poisson_inverse(mixing.uniform(F.col("id").cast("string"), 1), F.lit(60.0)).alias("k"))
+    mean, var = many.agg(F.avg("k"), F.var_samp("k")).first()
+    assert abs(mean - 60) < 0.4 and abs(var - 60) < 4
