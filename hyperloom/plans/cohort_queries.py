@@ -16,6 +16,8 @@ from ..operators import network
 from ..sources.crosswalk import Tables
 
 CONFIG = c.Config().check()
+#: The full-population variant: all eligible nodes are treated rows, all others may be controls.
+FULL = c.Config(treatment_rows=None).check()
 N, MOST = CONFIG.treatment_rows, CONFIG.treatment_rows * CONFIG.control_multiplier
 
 
@@ -175,7 +177,12 @@ def _r(df, *names, digits=6):
 
 
 def _s(step):
-    return lambda t: step(Study(t))
+    build = lambda t, config=CONFIG: step(Study(t, config))
+    return build
+
+
+def _full(build):
+    return lambda t: build(t, FULL)
 
 
 DEFS: dict[str, tuple] = {
@@ -222,3 +229,9 @@ DEFS: dict[str, tuple] = {
         COHORT + " SELECT match_id, t.node_id AS t_node_id, k.node_id AS c_node_id, t.post_followers_90 - k.post_followers_90 AS difference FROM mc ORDER BY 4 DESC, 1 LIMIT 100",
     ),
 }
+
+#: Steps that hold no more than the sample; each has a variant ``<name>_full`` without SQL.
+SAMPLED = """treated_sample control_pool risk_set_controls observations incoming_features outgoing_features treatment_attributes cohort_features strata
+propensity_scores matched_pairs matched_balance matched_effects index_pairs smd_balance paired_effects subgroup_effects event_dynamics network_quality
+dynamics_report cohort_checks extreme_pairs""".split()
+DEFS |= {f"{name}_full": (_full(DEFS[name][0]), None) for name in SAMPLED}

@@ -190,8 +190,8 @@ DEFS: dict[str, tuple] = {
         DEGREES + """ SELECT node_id, follow_degree, pack_degree FROM (SELECT node_id, in_degree + out_degree AS follow_degree FROM d ORDER BY 2 DESC, 1 LIMIT 1000)
         JOIN (SELECT member_id AS node_id, count(*) AS pack_degree FROM memberships GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000) USING (node_id)""",
     ),
-    "kendall_tau": (lambda t: ranking.kendall_prefixes(ranking.top_common(degrees(t), t.memberships, 1000), 60), None),
-    "kendall_bins": (lambda t: ranking.log_bins(ranking.kendall_prefixes(ranking.top_common(degrees(t), t.memberships, 1000), 60)), None),
+    "kendall_tau": (lambda t: ranking.kendall_prefixes(ranking.top_common(degrees(t), t.memberships, 1_000_000), 500), None),
+    "kendall_bins": (lambda t: ranking.log_bins(ranking.kendall_prefixes(ranking.top_common(degrees(t), t.memberships, 1_000_000), 500)), None),
     "follows_of": (person_sql(f"SELECT * FROM follows_of({A})"), f"SELECT dst AS node_id, date_followed FROM follows WHERE src = {A}"),
     "followers_of": (person_sql(f"SELECT * FROM followers_of({A})"), f"SELECT src AS node_id, date_followed FROM follows WHERE dst = {A}"),
     "is_following": (

@@ -61,3 +61,26 @@ def test_components_and_cores_of_the_whole_tables(spark):
     assert {r.core_number: r.node_count for r in catalog.QUERIES["kcore_distribution"](spark, SF).collect()} == Counter(want.values())
     top = {r.node_id: r.core_number_monotone for r in catalog.QUERIES["kcore_monotone"](spark, SF).collect()}
     assert top.keys() == want.keys() and all(want[m] <= top[m] for m in want)
+
+
+def test_full_population_study(spark):
+    folder = "/root/testdata/sf0.01"
+    query = lambda name: catalog.QUERIES[name](spark, folder)
+    eligible = {r.node_id for r in query("treatment_eligible").collect()}
+    obs = query("observations_full").collect()
+    assert len(eligible) > 400 and {r.node_id for r in obs if r.treated} == eligible
+    treated = [r.treatment_id for r in query("treated_sample_full").collect()]
+    assert sorted(treated) == list(range(1, len(eligible) + 1))
+    assert query("matched_pairs_full").count() > 0 and query("paired_effects_full").count() > 0
+
+
+def test_rank_agreement_takes_the_whole_ranking(spark):
+    from hyperloom.operators import ranking
+    from hyperloom.plans.network_queries import degrees
+    from hyperloom.sources.crosswalk import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    whole = ranking.top_common(degrees(t), t.memberships, 1_000_000).count()
+    assert whole > 1000
+    got = [r.n for r in catalog.QUERIES["kendall_tau"](spark, "/root/testdata/sf0.01").collect()]
+    assert max(got) == whole
