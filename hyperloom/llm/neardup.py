@@ -7,6 +7,8 @@
    arrival falls into one of ``SLOTS`` slots, and a slot keeps its first arrival.
    Processes stop once they are later than every slot's first arrival. Two texts
    agree in a slot with the probability Jaccard similarity of their weighted sets.
+   A text with repeated shingles has a second sketch of weight 1, whose slots agree
+   with the Jaccard similarity of the sets, by which links are decided.
 3. Banding: ``BANDS`` groups of ``ROWS`` slots are bucket keys. First each member
    of a bucket is compared with hubs only: the least member, the one whose buckets
    are the fullest (the original of a group of edited copies) and, in every third
@@ -132,9 +134,14 @@ def sketched(docs: DataFrame, doc_id="doc_id", text="text", carry: bool = False)
                     sigs.append(None), bands.append(None)
                     continue
                 e, n = np.unique(shingler.shingles(words), return_counts=True)
-                sig = signature(e, 1.0 + np.log2(n))
+                # Links are of sets: agreement is that of weight 1, and repeated shingles add the weighted keys.
+                sig = signature(e, np.ones(len(e)))
                 sigs.append((mix(sig) & U(0xFFFF)).astype(np.uint16).tobytes())
-                bands.append(band_keys(sig))
+                keys = band_keys(sig).tolist()
+                if len(e) < n.sum():
+                    weighted = band_keys(signature(e, 1.0 + np.log2(n))).tolist()
+                    keys += [None if w == k else w for w, k in zip(weighted, keys, strict=True)]
+                bands.append(keys)
             cols = [batch.column(c) for c in kept] + [pa.array(exact, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [*kept, "near_exact", "near_sig", "near_bands"])
 
@@ -150,7 +157,8 @@ def sketched(docs: DataFrame, doc_id="doc_id", text="text", carry: bool = False)
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
     """From (rid, near_bands): (rid, band, key) of the buckets with two members or more."""
-    rows = reps.select("rid", F.posexplode("near_bands").alias("band", "key"))
+    rows = reps.select("rid", F.posexplode("near_bands").alias("at", "key")).where("key IS NOT NULL")
+    rows = rows.select("rid", (F.col("at") % BANDS).alias("band"), "key")
     sizes = durable(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
     rows = durable(rows.join(sizes, ["band", "key"]))
     crowds = durable(rows.groupBy("rid").agg(F.sum("n").alias("crowd")))

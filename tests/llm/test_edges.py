@@ -339,3 +339,15 @@ def test_poisson_inverse_of_great_rates(spark):
     many = spark.range(20000).select(mixing.poisson_inverse(mixing.uniform(F.col("id").cast("string"), 1), F.lit(60.0)).alias("k"))
     mean, var = many.agg(F.avg("k"), F.var_samp("k")).first()
     assert abs(mean - 60) < 0.4 and abs(var - 60) < 4
+
+
+def test_repeated_passages_do_not_hide_a_pair(spark):
+    """Sets are nearly equal, but a fifth of the shingles of one text repeats 1,000 times."""
+    from hyperloom.llm import neardup
+
+    rows = []
+    for k in range(12):
+        w = [f"p{k}w{i}" for i in range(400)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:320] + w[320:] * 1000))]
+    out = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {d: d - d % 2 for d, _ in rows}
