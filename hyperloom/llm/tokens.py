@@ -1,16 +1,18 @@
 """Token counts by batch encoding in Arrow functions that return lengths only.
 
 Each task streams Arrow batches, cuts them into groups of about ``GROUP_BYTES``
-and has the tokenizer library encode a group at a time; ids never leave the
+bytes and has the tokenizer library encode a group at a time; ids never leave the
 function. Where the tokenizer drops white space before it looks for tokens, a
 space or line feed is a safe boundary: no token and no normalisation crosses it.
-Texts of any length are then counted as the sum over their pieces, each distinct
-short piece of a group is encoded once, and a bounded table remembers its count.
+There a text longer than a group is cut at such boundaries into parts of a group's
+size, texts are counted as the sum over their pieces, each distinct piece of a
+group is encoded once, and a bounded table remembers short pieces' counts. Pieces
+are told apart without case and final mark where that can't change the count.
 Other tokenizers get whole texts.
 
 Defined cases: a null text counts as empty (0 tokens, 0 bytes); null ids and
 repeated rows pass through; an empty table gives no rows; other columns are
-ignored.
+ignored, whatever their names; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -19,17 +21,22 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import table
 
 LIMIT = 2048
 GROUP_BYTES = 1 << 19
 #: Pieces up to this many characters are remembered, and so many of them per worker.
-SHORT, REMEMBERED = 32, 600_000
+SHORT, REMEMBERED = 32, 1_000_000
+#: After a letter or number each of these is a token of its own for tokenizers that cut at classes of characters.
+MARKS = frozenset(".,;:!?")
+#: Letters and numbers before this one stay one character when composed or put in lower case.
+LAST_PLAIN = "\u0130"
 
 _COUNTERS: dict[str, Counter] = {}
 
@@ -40,7 +47,7 @@ class Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.known: dict[str, int] = {}
-        self.splits = False
+        self.splits = self.folds = False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -56,17 +63,33 @@ class Counter:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             self.splits = drops_space(spec)
+            self.folds = self.splits and cuts_at_classes(spec)
+
+    def pieces(self, text: str) -> list[str]:
+        """Parts between spaces, in lower case where the tokenizer does the same."""
+        if self.folds and text.isascii() and "<|" not in text:
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.splits:
             return self.encode(texts)
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [self.pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, extra = self.known, {}
-        new = list(set().union(*pieces).difference(known))
-        for piece, n in zip(new, self.encode(new), strict=True):
+        new = set().union(*pieces).difference(known)
+        marked: list[str] = []
+        if self.folds:
+            # "word," has the tokens of "word" and of ",".
+            marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalnum() and p[-2] < LAST_PLAIN and len(p) <= SHORT]
+            new.difference_update(marked)
+            new.update({p[:-1] for p in marked}.difference(known), MARKS.difference(known))
+        todo = list(new)
+        for piece, n in zip(todo, self.encode(todo), strict=True):
             (known if len(piece) <= SHORT else extra)[piece] = n
+        for piece in marked:
+            known[piece] = known[piece[:-1]] + known[piece[-1]]
         if extra:
             return [sum(known[p] if p in known else extra[p] for p in ps) for ps in pieces]
         return [sum(map(known.__getitem__, ps)) for ps in pieces]
@@ -89,22 +112,38 @@ def drops_space(spec: dict) -> bool:
     )
 
 
+def cuts_at_classes(spec: dict) -> bool:
+    """Whether case is folded first and runs of letters, numbers and other signs are cut from each other."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    pattern = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])[0].get("pattern", {}).get("Regex", "")
+    classes = [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+    return any(x.get("type") == "Lowercase" for x in steps) and pattern.split("|")[-3:] == classes and all(x.startswith("'") for x in pattern.split("|")[:-3])
+
+
 def _counter(path: str) -> Counter:
     if path not in _COUNTERS:
         _COUNTERS[path] = Counter(path)
     return _COUNTERS[path]
 
 
-def groups(texts: list[str], most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``most`` characters, at least one text each."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def groups(sizes: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most ``most`` bytes, or of one text."""
+    ends = np.cumsum(sizes)
+    start, before = 0, 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, stop
+        start, before = stop, int(ends[stop - 1])
+
+
+def parts(text: str, size: int, most: int = GROUP_BYTES) -> Iterator[str]:
+    """A text of ``size`` bytes in parts of about ``most`` bytes, cut at spaces and line feeds."""
+    step, at = max(1, most * len(text) // max(size, 1)), 0
+    while at < len(text):
+        ends = [k for k in (text.find(" ", at + step), text.find("\n", at + step)) if k >= 0] if at + step < len(text) else []
+        stop = min(ends, default=len(text))
+        yield text[at:stop]
+        at = stop + 1
 
 
 def default_path() -> str:
@@ -118,11 +157,15 @@ def count_tokens(docs: DataFrame, path: str, doc_id="doc_id", text="text", key:
 
     def run(batches):
         counter = _counter(path)
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
+        for batch in batches:
+            sizes = batch.column("n_bytes").to_numpy()
             counts: list[int] = []
-            for a, b in groups(texts):
-                counts += counter.count(texts[a:b])
+            for a, b in groups(sizes):
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                if counter.splits and sizes[a] > GROUP_BYTES:
+                    counts.append(sum(counter.count([part])[0] for part in parts(texts[0], int(sizes[a]))))
+                else:
+                    counts += counter.count(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64())], [*kept, "n_tokens"])
 
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))

@@ -275,32 +275,89 @@ def test_star_of_edited_copies_is_one_class(spark):
     assert len(rows) == 301 and {r.class_id for r in rows} == {0}
 
 
-def test_open_pairs_leave_no_pair_of_a_bucket(spark):
-    """With small blocks: every pair of a bucket is in one component or comes out, if the signatures agree."""
+@pytest.mark.parametrize("sample", [1024, 64])
+def test_open_pairs_join_all_similar_members_of_a_bucket(spark, monkeypatch, sample):
+    """With small blocks, and with samples of sets: components and pairs together are those of brute force."""
     import itertools
 
-    import numpy as np
-
     from hyperloom.llm import neardup
 
-    docs = spark.createDataFrame(list(enumerate(star(60) + star(20, 1))), "doc_id long, text string")
-    sketch = neardup.sketched(docs)
-    shared = neardup.shared_buckets(sketch)
-    comp = spark.createDataFrame([(r.rid, r.rid if r.rid % 3 else -1) for r in sketch.collect()], "node long, component long")
-    got = {(r.a, r.b) for r in neardup.open_pairs(shared, sketch, comp, small=4, block=8).collect()}
-    one = {r.node: r.component for r in comp.collect()}
-    sig = {r.rid: np.frombuffer(r.near_sig, dtype=np.uint16) for r in sketch.collect()}
+    monkeypatch.setattr(neardup, "SAMPLE", sample)
+    texts = star(60) + star(20, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "near_id long, near_text string")
+    sketch = neardup.sketched(docs, "near_id", "near_text")
+    shared = neardup.shared_buckets(sketch.select("rid", "near_bands"))
+    text_of = {r.rid: texts[r.near_id] for r in sketch.collect()}
+    written = spark.createDataFrame(list(text_of.items()), "rid long, near_text string")
+    one = {rid: rid if rid % 3 else -1 for rid in text_of}
+    comp = spark.createDataFrame(list(one.items()), "node long, component long")
+    got = {(r.a, r.b) for r in neardup.open_pairs(shared, written, comp, block=8).collect()}
+    sets = {rid: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for rid, t in text_of.items() for w in [t.split()]}
+    similar = lambda a, b, least: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
     buckets = {}
     for r in shared.collect():
-        buckets.setdefault((r.band, r.key), []).append(r.rid)
-    want = {
-        (max(p), min(p))
-        for m in buckets.values()
-        if len(m) > 2
-        for p in itertools.combinations(m, 2)
-        if one[p[0]] != one[p[1]] and (sig[p[0]] == sig[p[1]]).sum() >= neardup.LEAST_AGREE
-    }
-    assert max(map(len, buckets.values())) > 16 and got == want
+        buckets.setdefault(r.key, set()).add(r.rid)
+    want = {(max(p), min(p)) for m in buckets.values() if len(m) > 2 for p in itertools.combinations(m, 2) if one[p[0]] != one[p[1]] and similar(*p, 0.8)}
+
+    def joined(pairs):
+        parent = dict(one) | {-1: -1}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        return {rid: find(rid) for rid in one}
+
+    assert max(map(len, buckets.values())) > 16 and want
+    assert joined(got if sample == 1024 else got & want) == joined(want)
+    assert all(similar(*p, 0.8 if sample == 1024 else 0.6) for p in got)
+
+
+def test_agreement_bound():
+    from math import comb
+
+    from hyperloom.llm import neardup
+
+    for least in (0.5, 0.8, 0.9):
+        k = neardup.least_agree(least)
+        assert sum(comb(120, j) * least**j * (1 - least) ** (120 - j) for j in range(k)) <= 1e-8
+
+
+def test_token_groups_are_of_bytes_and_long_texts_are_cut_at_spaces():
+    import numpy as np
+
+    sizes = np.array([3, 4, 100, 1, 1, 0, 9])
+    got = list(tokens.groups(sizes, 8))
+    assert [k for a, b in got for k in range(a, b)] == list(range(7)) and all(sizes[a:b].sum() <= 8 or b == a + 1 for a, b in got)
+    assert list(tokens.groups(np.array([], dtype=np.int64))) == []
+    text = "日本 語の\nテキスト " * 50 + "end"
+    cut = list(tokens.parts(text, len(text.encode()), 40))
+    assert len(cut) > 20 and max(len(x.encode()) for x in cut) <= 60
+    assert [w for x in cut for w in x.split()] == text.split()
+
+
+def test_token_counts_of_marked_and_long_pieces(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 64)
+    texts = ["Word, word. word! it's. It'll? a.b., ...", "x" * 500 + ". " + "Y" * 40 + ",", "A1, 1. 2; é, É. <|ENDOFTEXT|>, <|endoftext|>.", "ß. İ, ŒUVRE; word\n\nword, " * 40]
+    counter = tokens.Counter(path)
+    whole = counter.encode(texts)
+    assert counter.folds and [sum(counter.count([p])[0] for p in tokens.parts(t, len(t.encode()), 64)) for t in texts] == whole
+    assert counter.count(texts) == whole
+
+
+def test_limits_are_exact_for_few_lengths_and_binned_for_many(spark):
+    lengths = spark.range(0, 30_000, 10).select(F.col("id").alias("length"))
+    exact = packing.length_histogram(lengths)
+    assert exact == [(k, 1) for k in range(0, 30_000, 10)]
+    binned = packing.length_histogram(lengths, most=1000)
+    assert len(binned) < 3000 and sum(n for _, n in binned) == 3000
 
 
 def test_registered_packing_counts_tokens(spark, tmp_path):
