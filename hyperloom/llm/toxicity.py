@@ -8,14 +8,17 @@ are trained from document labels through the noisy-or. The same sentence scores
 then locate what offends.
 
 The model is fitted on a bounded sample of labelled rows (``MOST_POSITIVE`` and
-``MOST_NEGATIVE``, chosen by hash, the two kinds weighted alike);
-scoring is one pass over all texts and needs no shuffle.
-
-Defined cases: a null or empty text has no sentence and scores the base rate of
-toxicity without evidence, near 0; null ids and repeated rows are scored one by
-one; labels that are null are not learned from, repeated labels count once; with
-no labels of one kind every score is that base rate; an empty table gives no
-rows; other columns are ignored.
+``MOST_NEGATIVE`` rows, chosen by hash, of ``MOST_BYTES`` bytes of text for each
+kind; toxic ones weigh more, as they are fewer); scoring is one pass over all texts
+and needs no shuffle. A sentence without evidence has a small probability, the leak,
+in training; scores leave it out, so that long texts without evidence score 0.
+
+Defined cases: a null or empty text has no sentence and scores 0; null ids and
+repeated rows are scored one by one; repeated and very long sentences count as any
+other, the first of equal ones; of sentences that score alike the first is located;
+labels that are null are not learned from, repeated labels count once, as toxic if
+one is; with no labels of one kind all scores are 0;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +32,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table
 
 MOST_POSITIVE, MOST_NEGATIVE = 3000, 5000
+#: Of each kind's sampled texts; a text that doesn't fit is passed over.
+MOST_BYTES = 16_000_000
 DIMENSIONS = 1 << 18
 EPOCHS, LEAST_STEPS, RATE, BATCH, LEAST_DOCS, RIDGE = 30, 1000, 1.0, 128, 3, 1e-5
-#: A sentence without evidence has this logit, fixed, so that long clean texts don't add up to toxic ones.
+#: A sentence without evidence has this logit, fixed.
 BIAS = -8.0
+#: The kinds' ratio to this power is the weight of a toxic document.
+BALANCE = 0.75
 THRESHOLD = 0.7
 LONGEST = 400
 REMEMBERED = 500_000
@@ -104,9 +112,24 @@ def softplus(z):
     return np.logaddexp(0.0, z)
 
 
-def noisy_or(logits) -> float:
-    """1 - prod(1 - sigmoid(z))."""
-    return float(-np.expm1(-softplus(np.asarray(logits, dtype=np.float64)).sum())) if len(logits) else 0.0
+def noisy_or(logits, leak: float | None = None) -> float:
+    """1 - prod(1 - sigmoid(z)), each factor over that of the logit ``leak`` if one is given."""
+    z = np.asarray(logits, dtype=np.float64)
+    total = softplus(z).sum() - (0.0 if leak is None else len(z) * softplus(leak))
+    return float(-np.expm1(-max(total, 0.0)))
+
+
+def loss(z: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted log loss of the noisy-or over the documents' sentence logits z; owner: a sentence's document."""
+    total = np.bincount(owner, softplus(z), len(y))
+    return float((weight * np.where(y == 1, -np.log(-np.expm1(-total)), total)).sum())
+
+
+def slopes(z: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The derivative of ``loss`` by each sentence's logit."""
+    total = np.maximum(np.bincount(owner, softplus(z), len(y)), 1e-30)
+    by_total = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) * weight
+    return by_total[owner] / (1.0 + np.exp(-z))
 
 
 def fit(ids: list[np.ndarray], ends: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 2) -> Model:
@@ -119,7 +142,9 @@ def fit(ids: list[np.ndarray], ends: list[np.ndarray], y: np.ndarray, weight: np
     w, g2 = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2)
     bias = BIAS
     rng = np.random.default_rng(seed)
-    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // max(n, 1)) if n and 0 < y.sum() < n else 0):
+    epochs = max(EPOCHS, LEAST_STEPS * BATCH // max(n, 1)) if n and 0 < y.sum() < n else 0
+    mean, counted = np.zeros(DIMENSIONS), 0
+    for epoch in range(epochs):
         order = rng.permutation(n)
         for s in range(0, n, BATCH):
             docs = [d for d in order[s : s + BATCH] if len(ends[d])]
@@ -131,29 +156,39 @@ def fit(ids: list[np.ndarray], ends: list[np.ndarray], y: np.ndarray, weight: np
             start = np.concatenate([[0], stop[:-1]])
             owner = np.repeat(np.arange(len(docs)), [len(ends[d]) for d in docs])
             z = bias + np.add.reduceat(w[flat], start)
-            total = np.maximum(np.bincount(owner, softplus(z), len(docs)), 1e-9)
-            slope = np.where(y[docs] == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) * weight[docs]
-            dz = slope[owner] / (1.0 + np.exp(-z)) / len(docs)
+            dz = slopes(z, owner, y[docs], weight[docs]) / len(docs)
             grad = np.bincount(flat, np.repeat(dz, stop - start), DIMENSIONS)
             at = np.flatnonzero((grad != 0) & usable)
             grad = grad[at] + RIDGE * w[at]
             g2[at] += grad * grad
             w[at] -= RATE * grad / np.sqrt(g2[at])
+        # The mean of the later epochs depends less on the order of documents than the last one.
+        if 2 * epoch >= epochs:
+            mean, counted = mean + w, counted + 1
+    w = mean / max(counted, 1)
     w[~usable] = 0.0
     return Model(w.astype(np.float32), float(bias))
 
 
-def _sample(labels: DataFrame) -> DataFrame:
-    """(doc_id, y) of at most MOST_POSITIVE and MOST_NEGATIVE labelled documents, by hash order."""
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of at most MOST_POSITIVE and MOST_NEGATIVE labelled documents, by hash order, within MOST_BYTES each."""
     one = labels.groupBy("doc_id").agg(F.max("toxic").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
     by_hash = F.xxhash64(F.lit(2), "doc_id")
-    parts = [one.where(cond).orderBy(by_hash, "doc_id").limit(most).select("doc_id", F.lit(y).alias("y")) for y, cond, most in ((1, "y = 1", MOST_POSITIVE), (0, "y <> 1", MOST_NEGATIVE))]
-    return parts[0].unionByName(parts[1])
+    kinds = ((1, "y = 1", MOST_POSITIVE), (0, "y <> 1", MOST_NEGATIVE))
+    parts = [one.where(cond).orderBy(by_hash, "doc_id").limit(most).select("doc_id", F.lit(y).alias("y")) for y, cond, most in kinds]
+    # At most MOST_POSITIVE + MOST_NEGATIVE rows of two numbers: a proven bound for broadcast and driver.
+    sizes = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").groupBy("doc_id", "y").agg(F.sum(F.octet_length("text")).alias("n"))
+    chosen, used = [], {0: 0, 1: 0}
+    for r in sizes.orderBy(by_hash, "doc_id").collect():
+        if used[r["y"]] + (r["n"] or 0) <= MOST_BYTES:
+            used[r["y"]] += r["n"] or 0
+            chosen.append((r["doc_id"], r["y"]))
+    return docs.sparkSession.createDataFrame(chosen, T.StructType([one.schema["doc_id"], T.StructField("y", T.IntegerType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """From docs (doc_id, text) and labels (doc_id, toxic); the sample's features go to the driver as packed integers."""
-    sample = _sample(labels)
+    sample = _sample(docs, labels)
 
     def run(batches):
         for batch in slices(batches):
@@ -173,14 +208,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 stops.append(np.array(ends, dtype=np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(stops, pa.binary())], ["y", "ids", "ends"])
 
-    # At most MOST_POSITIVE + MOST_NEGATIVE rows of two numbers: a proven bound for the broadcast.
     rows = docs.join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(run, "y int, ids binary, ends binary").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["ends"]), bytes(r["ids"])))
     y = np.array([r["y"] for r in rows], dtype=np.int64)
     ids = [np.frombuffer(r["ids"], dtype=np.int32) for r in rows]
     ends = [np.frombuffer(r["ends"], dtype=np.int32) for r in rows]
     positive = max(1, int(y.sum()))
-    return fit(ids, ends, y, np.where(y == 1, (len(y) - positive) / positive, 1.0))
+    return fit(ids, ends, y, np.where(y == 1, ((len(y) - positive) / positive) ** BALANCE, 1.0))
 
 
 def score(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> DataFrame:
@@ -194,7 +228,7 @@ def score(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> DataFr
                 found = scorer(t or "")
                 worst = max(found, key=lambda x: x[2], default=None)
                 hit = worst is not None and worst[2] >= 0
-                out.append((noisy_or([z for _, _, z in found]), len(found), sum(z >= 0 for _, _, z in found), worst[0] if hit else None, worst[1] if hit else None))
+                out.append((noisy_or([z for _, _, z in found], model.bias), len(found), sum(z >= 0 for _, _, z in found), worst[0] if hit else None, worst[1] if hit else None))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True))],
