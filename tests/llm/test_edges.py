@@ -80,6 +80,32 @@ def test_secret_spans_against_regex(spark):
         assert got[i].spans == ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(a, key=lambda x: (x[1], order.index(x[0]))))
 
 
+def test_many_matches_in_one_text(spark):
+    """Linear: 100,000 matches and redactions in seconds, with positions beyond the 16-bit characters."""
+    import time
+
+    text = "\U0001f600 token=abc123xyz789 " * 100_000
+    df = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    r = secrets.scan(df).first()
+    assert r.n_assign == 100_000 and r.spans.startswith("assign:2:20,assign:23:41") and r.spans.endswith(f"assign:{21 * 99_999 + 2}:{21 * 99_999 + 20}")
+    assert secrets.redact(df).first().text == "\U0001f600 [SECRET] " * 100_000
+    assert time.time() - began < 90
+
+
+def test_wide_in_repositories_but_of_one_owner_is_no_example(spark):
+    value = "token = a9f8e7d6c5b4a3f2e1d0b9c8"
+    data = [(i, f"x {value}", "one", f"l{i}") for i in range(20)] + [(100 + i, "y token = b9f8e7d6c5b4a3f2e1d0b9c8", f"s{i % 3}", f"l{i}") for i in range(6)]
+    rows = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(data, "doc_id long, text string, source string, lang string")).collect()}
+    assert rows[0].n_live > 0 and rows[0].n_example == 0 and (rows[0].max_owners, rows[0].max_repos) == (1, 20)
+    assert rows[100].n_example > 0 and rows[100].n_live == 0 and (rows[100].max_owners, rows[100].max_repos) == (3, 6)
+
+
+def test_redaction_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, f"a {KEY} b", "s", "en", 5, 6, 7, 8)], "doc_id long, text string, source string, lang string, k_id int, k_hash int, bad_id int, text_hash int")
+    assert [tuple(r) for r in secrets.redact(df).collect()] == [(1, "a [SECRET] b", "s", "en", 5, 6, 7, 8)]
+
+
 def test_redaction_joins_overlaps_and_spares_examples(spark):
     shared = "token = " + "abcdef0123456789abcdef0123"
     data = [(i, f"x {shared} y", f"s{i}", "en") for i in range(5)] + [(9, 'a token = "9f8e7d6c5b4a39f8e7d6c5b4a3" b', "s", "en")]
@@ -89,7 +115,7 @@ def test_redaction_joins_overlaps_and_spares_examples(spark):
 
 def test_chat(spark):
     data = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 300, "ann", "late"), (2, 0, "system", "alone"), (None, None, None, "x"), (1, 2, "bob", None)]
-    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in data], "conv_id long, turn long, role string, text string, rendered string, block int, names string")
     out = {(r.conv_id, r.perspective, r.block): r for r in chat.rotate(df).collect()}
     assert set(out) == {(1, "ann", 0), (1, "ann", 2), (1, "bob", 0), (1, "bob", 2), (None, "unknown", -1)}
     r = out[1, "ann", 0]
@@ -99,6 +125,32 @@ def test_chat(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_blocks_do_not_change_the_dialogue(spark):
+    """Null turns, one turn number in very many rows, long texts: parts of any size give the same dialogue and mask."""
+    data = [(1, None if i % 7 == 0 else i % 5, f"r{i % 3}", f"t{i}" * (3000 if i == 8 else 1)) for i in range(200)] + [(2, 1, "r1", "alone")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+
+    def whole(rows):
+        out = {}
+        for r in sorted(rows, key=lambda r: (r.conv_id, r.perspective, r.block, r.part)):
+            text, mask = out.get((r.conv_id, r.perspective), ("", []))
+            assert r.offset == len(text) and r.n_turns <= 200
+            out[r.conv_id, r.perspective] = text + r.rendered, mask + [tuple(s) for s in r.mask]
+        return out
+
+    got = whole(chat.rotate(df, block=2, most=6).collect())
+    assert got == whole(chat.rotate(df).collect()) and len(got) == 4
+    assert all(text[s:e].endswith("<|im_end|>") and "user" not in text[s:e] for text, mask in got.values() for s, e in mask)
+    assert len(got[1, "r0"][1]) == 67
+
+
+def test_chat_tells_speakers_apart_by_their_roles(spark):
+    data = [(1, k, role, "x") for k, role in enumerate(["ann lee", "ann_lee", "ann~20lee", "system ", "a<|>\tb"])]
+    out = chat.rotate(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 5 and all(len(r.mask) == 1 for r in out)
+    assert {r.perspective for r in out} == {"ann~20lee", "ann_lee", "ann~7E20lee", "system~20", "a~3C~7C~3E~09b"}
+
+
 def test_chat_escape_round_trip(spark):
     texts = ["<|", "<\\|", "a<\\\\|b<|c", "<||", "\\<|", "plain"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e")).withColumn("u", chat.unescape(F.col("e")))
@@ -228,6 +280,60 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(unseen, empty).count() == 2
 
 
+def test_toxicity_of_long_neutral_texts(spark):
+    """Ten thousand sentences that say nothing of toxicity don't add up, with a model or without labels."""
+    bad = [(100 + i, f"this is number {i}. You are a grumblefrog{i % 3} indeed. End.", int(i < 40)) for i in range(40)] + [(200 + i, f"this is number {i}. You are a good friend indeed. End.", 0) for i in range(120)]
+    labelled = spark.createDataFrame(bad, "doc_id long, text string, toxic int")
+    long = spark.createDataFrame([(1, " ".join(f"Sentence {i} is number nine{i}." for i in range(10_000))), (2, None)], "doc_id long, text string")
+    for labels in (labelled, labelled.where("toxic = 0")):
+        model = toxicity.train(labelled.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+        got = {r.doc_id: r for r in toxicity.score(long, model).collect()}
+        assert got[1].n_sentences == 10_000 and got[1].score < 0.1 and got[2].score == 0
+
+
+def test_toxicity_gradient_and_noisy_or_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    owner, y, weight = np.array([0, 0, 1, 2, 2, 2, 3]), np.array([1, 0, 0, 1]), np.array([1.0, 2.0, 0.5, 3.0])
+    z = rng.normal(-2, 2, 7)
+    got = toxicity.slopes(z, owner, y, weight)
+    for k in range(7):
+        up, down = z.copy(), z.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        assert abs(got[k] - (toxicity.loss(up, owner, y, weight) - toxicity.loss(down, owner, y, weight)) / 2e-6) < 1e-5
+    p = 1 / (1 + np.exp(-z))
+    assert abs(toxicity.noisy_or(z) - (1 - np.prod(1 - p))) < 1e-12 and toxicity.noisy_or([]) == 0
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    import re
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 2, toxicity.DIMENSIONS).astype(np.float32), -3.0)
+    texts = ["One two. Three four! One two.", "", None, "a\nb", "word " * 300, "No end"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for d, t in enumerate(texts[:4]):
+        p = 1.0
+        for part in dict.fromkeys(x.strip().lower() for x in re.findall(r"[^.!?\n]+[.!?]*", t or "")):
+            ws = set(re.findall(r"\w+", part))
+            if ws:
+                logit = -3.0 + sum(float(model.weights[toxicity.features(w)].sum()) for w in ws)
+                p *= (1 - 1 / (1 + np.exp(-logit))) / (1 - 1 / (1 + np.exp(3.0)))
+        assert abs(got[d] - max(0, 1 - p)) < 1e-6
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x " * (10_000 if i == 3 else 10)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 210)
+    got = toxicity._sample(docs, labels).collect()
+    assert sorted(r.y for r in got) == [0] * 10 + [1] * 10 and 3 not in {r.doc_id for r in got}
+
+
 PAGE = """<html><head><title>T</title><style>x</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav>Menu</nav>
 <div class="cookie-notice">We use cookies</div><div class="wrap"><div class="post-body p12"><h2>Head &amp; tail</h2><p>First para with <b>bo</b>ld and <a href="/x">a link</a>.<p>Second&nbsp;one
 line.<script>var p = "</p>";</script></p><!-- gone --></div><div class="comments"><p>Nice post, I liked it very much indeed!</p></div></div>
