@@ -189,26 +189,38 @@ def propensity_scores(table: DataFrame, columns: list[str] = FEATURES, ridge: fl
 
 def greedy_match(logits, treated, ids, node, caliper: float, reuse: int) -> list[tuple[int, int, float]]:
     """Nearest control by logit for every treated id in order; the lower one on ties; a control serves ``reuse`` times."""
-    controls = np.lexsort((ids[treated == 0], logits[treated == 0]))
-    at, cid, cnode = logits[treated == 0][controls], ids[treated == 0][controls], node[treated == 0][controls]
-    used = np.zeros(len(at), dtype=np.int64)
+    is_control = treated == 0
+    controls = np.lexsort((ids[is_control], logits[is_control]))
+    at, cid, cnode = logits[is_control][controls], ids[is_control][controls], node[is_control][controls]
+    order = np.argsort(ids[~is_control], kind="stable")
+    wanted = zip(logits[~is_control][order].tolist(), ids[~is_control][order].tolist(), node[~is_control][order].tolist(), strict=True)
+    n = len(at)
+    used = np.zeros(n, dtype=np.int64)
+    # Where to go on from a control that is used up; places are shifted by one, so that both ends have one.
+    below, above = list(range(n + 2)), list(range(n + 2))
+
+    def free(steps, i):
+        while steps[i] != i:
+            steps[i] = steps[steps[i]]
+            i = steps[i]
+        return i
+
     out = []
-    for k in np.argsort(ids[treated == 1], kind="stable"):
-        z, t, own = logits[treated == 1][k], ids[treated == 1][k], node[treated == 1][k]
+    for z, t, own in wanted:
         right = int(np.searchsorted(at, z))
-        left, best = right - 1, None
-        ok = lambda i: used[i] < reuse and cnode[i] != own  # noqa: B023, E731
-        while left >= 0 and z - at[left] <= caliper and not ok(left):
-            left -= 1
-        while right < len(at) and at[right] - z <= caliper and not ok(right):
-            right += 1
-        if left >= 0 and z - at[left] <= caliper:
-            best = left
-        if right < len(at) and at[right] - z <= caliper and (best is None or at[right] - z < z - at[left]):
+        left, right = free(below, right) - 1, free(above, right + 1) - 1
+        while left >= 0 and z - at[left] <= caliper and cnode[left] == own:
+            left = free(below, left) - 1
+        while right < n and at[right] - z <= caliper and cnode[right] == own:
+            right = free(above, right + 2) - 1
+        best = left if left >= 0 and z - at[left] <= caliper else None
+        if right < n and at[right] - z <= caliper and (best is None or at[right] - z < z - at[left]):
             best = right
         if best is not None:
             used[best] += 1
-            out.append((int(t), int(cid[best]), float(abs(at[best] - z))))
+            if used[best] >= reuse:
+                below[best + 1], above[best + 1] = best, best + 2
+            out.append((t, int(cid[best]), float(abs(at[best] - z))))
     return out
 
 
@@ -374,7 +386,9 @@ def network_quality(cohort: DataFrame, follows: DataFrame, labels: DataFrame, da
     edges = follows.select(F.col("dst").alias("node_id"), F.col("src").alias("follower"), "date_followed")
     new = people.join(edges, "node_id").where((F.datediff("date_followed", "index_date") > 0) & (F.datediff("date_followed", "index_date") <= days))
     new = new.groupBy("match_id", "role", "node_id", "index_date", "follower").agg(F.count("*").alias("rows"))
-    back = follows.groupBy(F.col("src").alias("node_id"), F.col("dst").alias("follower")).agg(F.min("date_followed").alias("back"))
+    # Only the cohort's own follows can answer a new follower.
+    own = follows.join(people.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+    back = own.groupBy(F.col("src").alias("node_id"), F.col("dst").alias("follower")).agg(F.min("date_followed").alias("back"))
     mine, theirs = labels.select("node_id", F.col("community").alias("mine")), labels.select(F.col("node_id").alias("follower"), F.col("community").alias("theirs"))
     rows = new.join(back, ["node_id", "follower"], "left").join(mine, "node_id", "left").join(theirs, "follower", "left")
     mutual = F.coalesce(F.col("back") <= F.date_add("index_date", days), F.lit(False))

@@ -49,21 +49,23 @@ def top_common(degrees: DataFrame, memberships: DataFrame, top_k: int = 1_000_00
 
 
 def kendall_prefixes(common: DataFrame, points: int = 500) -> DataFrame:
-    """(ranked_by, n, tau) on the top n of either ranking. The input has at most top_k rows, a bound of the operator."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("node_id")
-        f, p, ids = (pdf[c].to_numpy() for c in ("follow_degree", "pack_degree", "node_id"))
-        out = []
-        if len(pdf) >= 10:
-            for name, key in (("follow_degree", f), ("pack_degree", p)):
-                order = np.lexsort((ids, -key))
-                out += [(name, n, kendall_tau_b(f[order[:n]], p[order[:n]])) for n in prefix_sizes(len(pdf), points)]
-        return pd.DataFrame(out, columns=["ranked_by", "n", "tau"])
-
-    return common.groupBy().applyInPandas(run, "ranked_by string, n long, tau double")
+    """(ranked_by, n, tau) on the top n of either ranking. The input has at most top_k rows of three
+    numbers, a bound of the operator, so every task gets all of it and computes some prefixes."""
+    spark = common.sparkSession
+    pdf = common.select("node_id", "follow_degree", "pack_degree").toPandas().sort_values("node_id")
+    ids, f, p = (pdf[c].to_numpy(dtype=np.int64) for c in ("node_id", "follow_degree", "pack_degree"))
+    keys = {"follow_degree": f, "pack_degree": p}
+    ranked = {name: (f[order], p[order]) for name, key in keys.items() for order in [np.lexsort((ids, -key))]}
+    shared = spark.sparkContext.broadcast(ranked)
+    sizes = [(name, n) for n in (prefix_sizes(len(pdf), points) if len(pdf) >= 10 else []) for name in keys]
+
+    def run(batches):
+        for part in batches:
+            part["tau"] = [kendall_tau_b(*(x[:n] for x in shared.value[name])) for name, n in zip(part["ranked_by"], part["n"], strict=True)]
+            yield part
+
+    jobs = spark.createDataFrame(sizes, "ranked_by string, n long")
+    return jobs.repartition(max(1, min(len(sizes), 64)), F.xxhash64("ranked_by", "n")).mapInPandas(run, "ranked_by string, n long, tau double")
 
 
 def log_bins(prefixes: DataFrame, bins: int = 30) -> DataFrame:

@@ -12,17 +12,23 @@ from ..sources.crosswalk import Tables
 #: A person with many follows at every scale, and a second one.
 A, B = 7, 11
 
-REACH = """, e AS (SELECT src AS a, dst AS b FROM follows_sparse UNION SELECT dst, src FROM follows_sparse),
-r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
-comp AS (SELECT node, min(root) AS component FROM r GROUP BY node)"""
-REACH_DIRECTED = """, e AS (SELECT DISTINCT src AS a, dst AS b FROM follows_sparse),
-n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
-r(node, root) AS (SELECT node, node FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
-comp AS (SELECT x.node, min(x.root) AS component FROM r x JOIN r y ON x.node = y.root AND x.root = y.node GROUP BY x.node)"""
-PACK_REACH = """, s AS (SELECT pack_id, min(member_id) AS a FROM memberships_sparse GROUP BY pack_id),
-e AS (SELECT a, member_id AS b FROM memberships_sparse JOIN s USING (pack_id) UNION SELECT member_id, a FROM memberships_sparse JOIN s USING (pack_id)),
-r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
-comp AS (SELECT node, min(root) AS component FROM r GROUP BY node)"""
+#: Least labels along edges e(a, b), both ways, until none falls.
+LEAST = """, comp(node, component) USING KEY (node) AS (SELECT a, a FROM e UNION
+(SELECT DISTINCT ON (u.node) u.node, v.component FROM recurring.comp u JOIN e ON e.a = u.node JOIN comp v ON v.node = e.b WHERE v.component < u.component ORDER BY u.node, v.component))"""
+REACH = """, e AS (SELECT src AS a, dst AS b FROM follows UNION SELECT dst, src FROM follows)""" + LEAST
+#: The component of the busiest source by reach in both directions, then all reach among the rest.
+REACH_DIRECTED = """, e AS (SELECT DISTINCT src AS a, dst AS b FROM follows),
+p AS (SELECT a FROM e GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
+f(node) AS (SELECT a FROM p UNION SELECT e.b FROM f JOIN e ON e.a = f.node),
+g(node) AS (SELECT a FROM p UNION SELECT e.a FROM g JOIN e ON e.b = g.node),
+big AS (SELECT node FROM f JOIN g USING (node)),
+n AS (SELECT node FROM (SELECT a AS node FROM e UNION SELECT b FROM e) WHERE node NOT IN (SELECT node FROM big)),
+e2 AS (SELECT * FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)),
+r(node, root) AS (SELECT node, node FROM n UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.node),
+comp AS (SELECT x.node, min(x.root) AS component FROM r x JOIN r y ON x.node = y.root AND x.root = y.node GROUP BY x.node
+  UNION ALL SELECT node, (SELECT min(node) FROM big) FROM big)"""
+PACK_REACH = """, s AS (SELECT pack_id, min(member_id) AS a FROM memberships GROUP BY pack_id),
+e AS (SELECT a, member_id AS b FROM memberships JOIN s USING (pack_id) UNION SELECT member_id, a FROM memberships JOIN s USING (pack_id))""" + LEAST
 SIZES = """ SELECT component_size, count(*) AS component_count FROM (SELECT count(*) AS component_size FROM comp GROUP BY component) GROUP BY 1"""
 
 PAIRS = """, p AS (SELECT x.member_id AS node_a, y.member_id AS node_b, count(*) AS cooccurrence
@@ -163,26 +169,21 @@ DEFS: dict[str, tuple] = {
     ),
     "community_sizes": (lambda t: community.community_sizes(t.labels), "SELECT community, count(*) AS node_count FROM node_labels GROUP BY 1"),
     "top_communities": (lambda t: community.top_communities(t.labels), "SELECT community, count(*) AS node_count FROM node_labels GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
-    "follow_wcc": (lambda t: kcore.size_histogram(connected_components(t.follows_sparse, "src", "dst")), REACH + SIZES, True),
-    "pack_components": (lambda t: kcore.size_histogram(kcore.pack_components(t.memberships_sparse)), PACK_REACH + SIZES, True),
-    "follow_scc": (lambda t: kcore.size_histogram(scc.strongly_connected_components(t.follows_sparse)), REACH_DIRECTED + SIZES, True),
+    "follow_wcc": (lambda t: kcore.size_histogram(connected_components(t.follows, "src", "dst")), REACH + SIZES, True),
+    "pack_components": (lambda t: kcore.size_histogram(kcore.pack_components(t.unique_memberships)), PACK_REACH + SIZES, True),
+    "follow_scc": (lambda t: kcore.size_histogram(scc.strongly_connected_components(t.follows)), REACH_DIRECTED + SIZES, True),
+    # No part of it in one task, at any size.
+    "follow_scc_distributed": (lambda t: kcore.size_histogram(scc.strongly_connected_components(t.follows, most_local_edges=0)), REACH_DIRECTED + SIZES, True),
     "giant_component": (
-        lambda t: community.giant_component(t.follows_sparse.selectExpr("src AS node_a", "dst AS node_b").distinct(), connected_components(t.follows_sparse, "src", "dst")),
+        lambda t: community.giant_component(t.follows.selectExpr("src AS node_a", "dst AS node_b").distinct(), connected_components(t.follows, "src", "dst")),
         REACH + """, best AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-        SELECT DISTINCT src AS node_a, dst AS node_b FROM follows_sparse JOIN comp ON src = node JOIN best USING (component)""",
+        SELECT DISTINCT src AS node_a, dst AS node_b FROM follows JOIN comp ON src = node JOIN best USING (component)""",
         True,
     ),
-    # The whole tables' components; those above are of the sparse ones, which recursive SQL can hold.
-    "follow_wcc_whole": (lambda t: kcore.size_histogram(connected_components(t.follows, "src", "dst")), None),
-    "pack_components_whole": (lambda t: kcore.size_histogram(kcore.pack_components(t.unique_memberships)), None),
-    "follow_scc_whole": (lambda t: kcore.size_histogram(scc.strongly_connected_components(t.follows)), None),
-    "giant_component_whole": (
-        lambda t: community.giant_component(t.follows.selectExpr("src AS node_a", "dst AS node_b").distinct(), connected_components(t.follows, "src", "dst")),
-        None,
-    ),
     "kcore": (lambda t: kcore.removal_core(t.unique_memberships), None),
     "kcore_distribution": (lambda t: kcore.core_distribution(kcore.removal_core(t.unique_memberships)), None),
     "kcore_monotone": (lambda t: kcore.monotone_core(t.unique_memberships), None),
+    "kcore_local_updates": (lambda t: kcore.local_updates(t.unique_memberships), None),
     "configuration_model": (configuration, None),
     "communities": (communities, None),
     "kendall_topk": (
@@ -206,6 +207,10 @@ DEFS: dict[str, tuple] = {
         person_sql(f"SELECT * FROM common_follows_of({A}, {B})"),
         f"SELECT x.dst AS node_id, x.date_followed AS followed_by_a, y.date_followed AS followed_by_b FROM follows x JOIN follows y ON x.dst = y.dst WHERE x.src = {A} AND y.src = {B}",
     ),
+    "indexed_follows": (
+        lambda t: persons.Adjacency(t.follows, 16).query(f"SELECT * FROM mutual_follows_of({A})"),
+        f"SELECT o.dst AS node_id, o.date_followed AS followed, i.date_followed AS followed_by FROM follows o JOIN follows i ON o.dst = i.src WHERE o.src = {A} AND i.dst = {A}",
+    ),
     "degree_counts": (
         lambda t: network.degree_counts(t.follows, A),
         f"SELECT (SELECT count(*) FROM follows WHERE src = {A}) AS following, (SELECT count(*) FROM follows WHERE dst = {A}) AS followers",

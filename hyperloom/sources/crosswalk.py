@@ -55,19 +55,11 @@ class Tables:
     def unique_memberships(self) -> DataFrame:
         return self.memberships.select("pack_id", "member_id").distinct()
 
-    def _follows(self, condition: str = "true") -> DataFrame:
-        lines = self.raw("lineitem").where(condition)
-        return lines.join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-            F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.to_date("l_shipdate").alias("date_followed")
-        )
-
     @property
     def follows(self) -> DataFrame:
-        return self._follows()
-
-    @property
-    def follows_sparse(self) -> DataFrame:
-        return self._follows("l_quantity <= 2")
+        return self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+            F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.to_date("l_shipdate").alias("date_followed")
+        )
 
     @property
     def labels(self) -> DataFrame:
@@ -93,8 +85,6 @@ nodes AS (
   SELECT DISTINCT l_orderkey AS pack_id, l_partkey AS member_id FROM lineitem
 ), follows AS (
   SELECT o_custkey AS src, l_partkey AS dst, CAST(l_shipdate AS DATE) AS date_followed FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-), follows_sparse AS (
-  SELECT o_custkey AS src, l_partkey AS dst, CAST(l_shipdate AS DATE) AS date_followed FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= 2
 ), node_labels AS (
   SELECT p_partkey AS node_id, p_partkey % 7 AS community FROM part
 )"""

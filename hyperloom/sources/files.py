@@ -134,12 +134,14 @@ def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_adjacency(follows: DataFrame, table: str, key: str = "src", buckets: int = 256) -> None:
+def write_adjacency(follows: DataFrame, table: str, key: str = "src", buckets: int = 256, path: str | None = None) -> None:
     """A bucketed, sorted table: point lookups by ``key`` read one bucket, joins on it don't shuffle."""
     if not 16 <= buckets <= 1024:
         raise ValueError("buckets must be in 16..1024")
     other = "dst" if key == "src" else "src"
-    follows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, other).saveAsTable(table)
+    # Rows of a bucket meet before they are written: one file a bucket.
+    writer = follows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, other)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_summary(spark: SparkSession, path: str, task: str, seconds: float, summary: dict) -> None:

@@ -50,16 +50,18 @@ def test_components_and_cores_of_the_whole_tables(spark):
     first = {}
     for p, m in packs:
         first[p] = min(m, first.get(p, m))
-    assert histogram("follow_wcc_whole") == sizes(components(follows))
-    assert histogram("pack_components_whole") == sizes(components([(first[p], m) for p, m in packs]))
-    assert histogram("follow_scc_whole") == sizes(scc.tarjan(sorted(follows)))
+    assert histogram("follow_wcc") == sizes(components(follows))
+    assert histogram("pack_components") == sizes(components([(first[p], m) for p, m in packs]))
+    assert histogram("follow_scc") == sizes(scc.tarjan(sorted(follows)))
     of = components(follows)
     best = min(set(of.values()), key=lambda c: (-list(of.values()).count(c), c))
-    assert {tuple(r) for r in catalog.QUERIES["giant_component_whole"](spark, SF).collect()} == {e for e in follows if of[e[0]] == best}
+    assert {tuple(r) for r in catalog.QUERIES["giant_component"](spark, SF).collect()} == {e for e in follows if of[e[0]] == best}
     want = kcore.peel(packs)
     assert {r.node_id: r.core_number for r in catalog.QUERIES["kcore"](spark, SF).collect()} == want
     assert {r.core_number: r.node_count for r in catalog.QUERIES["kcore_distribution"](spark, SF).collect()} == Counter(want.values())
+    updates = {r.node_id: r.core_number_monotone for r in catalog.QUERIES["kcore_local_updates"](spark, SF).collect()}
     top = {r.node_id: r.core_number_monotone for r in catalog.QUERIES["kcore_monotone"](spark, SF).collect()}
+    assert updates == top
     assert top.keys() == want.keys() and all(want[m] <= top[m] for m in want)
 
 

@@ -202,3 +202,75 @@ def test_embeddings_of_separate_groups(spark):
     got = {r["node_id"]: r["embedding"] for r in vec.collect()}
     e = np.array([got[n] for n in range(30)])
     assert np.allclose(e @ e.T, np.kron(np.eye(3), np.ones((10, 10))), atol=0.02)
+
+
+def test_core_numbers_by_local_updates_equal_peeling(spark):
+    import random
+
+    from hyperloom.operators import kcore
+
+    rng = random.Random(8)
+    for n_packs, n_members, most in ((30, 20, 6), (60, 15, 4), (25, 40, 9)):
+        rows = {(p, rng.randrange(n_members)) for p in range(n_packs) for _ in range(rng.randrange(1, most))}
+        df = spark.createDataFrame(sorted(rows), "pack_id long, member_id long")
+        want = {r.node_id: r.core_number_monotone for r in kcore.monotone_core(df).collect()}
+        assert {r.node_id: r.core_number_monotone for r in kcore.monotone_core(df, most_local=0).collect()} == want
+    assert kcore.local_updates(df.limit(0)).count() == 0
+
+
+def test_a_component_too_large_to_peel_is_an_error(spark):
+    import pytest
+
+    from hyperloom.operators import kcore
+
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "pack_id long, member_id long")
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        kcore.removal_core(df, most_local=2)
+
+
+def test_indexed_lookups_read_one_bucket(spark):
+    import datetime
+    import io
+    from contextlib import redirect_stdout
+
+    from hyperloom.functions import persons
+
+    day = datetime.date(2024, 1, 1)
+    follows = spark.createDataFrame([(a, b, day) for a in range(60) for b in range(60) if (a * b) % 7 == 3], "src long, dst long, date_followed date")
+    adjacency = persons.Adjacency(follows, 16)
+    other = persons.Adjacency(follows.where("src = 1"), 16)
+    got = adjacency.query("SELECT * FROM followers_of(5)")
+    assert {r.node_id for r in got.collect()} == {a for a in range(60) if a * 5 % 7 == 3}
+    # Plans tell how many buckets are read only where scans of buckets stay such.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    with redirect_stdout(io.StringIO()) as plan:
+        adjacency.query("SELECT * FROM followers_of(5)").explain("formatted")
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 16" in plan.getvalue()
+    assert [r.node_id for r in other.query("SELECT * FROM followers_of(5)").collect()] == []
+    assert adjacency.query("SELECT is_following(1, 3) AS x, is_following(1, 4) AS y").first() == (True, False)
+    adjacency.drop()
+    other.drop()
+
+
+def test_greedy_match_against_a_plain_version():
+    import numpy as np
+
+    from hyperloom.operators.cohort import greedy_match
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(2, 60))
+        z, treated, ids, node = rng.integers(0, 12, n) / 4.0, rng.integers(0, 2, n), rng.permutation(n), rng.integers(0, 15, n)
+        caliper, reuse = 0.75, int(rng.integers(1, 4))
+        used, want = {}, []
+        for k in sorted(np.flatnonzero(treated == 1), key=lambda k: ids[k]):
+            near = [(abs(z[j] - z[k]), z[j] >= z[k], j) for j in np.flatnonzero(treated == 0) if abs(z[j] - z[k]) <= caliper and used.get(j, 0) < reuse and node[j] != node[k]]
+            if near:
+                # The lower side on ties; on it the last of equal ones by id, on the upper side the first.
+                d, upper, _ = min(near, key=lambda x: x[:2])
+                side = [j for e, u, j in near if (e, u) == (d, upper)]
+                best = (min if upper else max)(side, key=lambda j: ids[j])
+                used[best] = used.get(best, 0) + 1
+                want.append((int(ids[k]), int(ids[best]), float(d)))
+        assert greedy_match(z, treated, ids, node, caliper, reuse) == want
