@@ -3,8 +3,9 @@
 A text's canonical form is its compatibility normalisation, case folded, with
 every run of white space folded to one space. The fingerprint is the 128-bit
 xxhash of that form. Inside equal digests the canonical bytes are compared: the
-grouping key is digest and bytes together, so two forms that share a digest
-count as different, and their fingerprints get a suffix.
+grouping key is digest and bytes together, and where different forms share a digest,
+every text of that digest gets a suffix to its fingerprint, from its own form alone.
+So a fingerprint is a digest, or a digest and a suffix, for any number of collisions.
 
 Only documents whose digest occurs again are compared. Their compressed canonical
 bytes move, folded by task before; equal forms compress to equal bytes, so
@@ -13,7 +14,8 @@ comparing those is comparing the forms.
 Defined cases: a null text counts as empty, and all empty texts are equal; rows
 with equal ids are ordered by their text's hash; a row without an id has itself
 as its next document; an empty table gives no rows; a single document is its own
-next one; other columns are ignored.
+next one; very long texts are treated whole; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, slices, table
 
-#: Most digests with different forms that travel to the tasks; beyond it digests are widened.
-MOST_COLLISIONS = 1000
 #: Shared digests up to this many are broadcast to the scan, more are joined by shuffle.
 MOST_BROADCAST_DIGESTS = 500_000
 ROWS_PER_RANGE, MOST_RANGES = 500, 20_000
@@ -46,13 +46,16 @@ def canonical(text: str) -> bytes:
     return " ".join(s.split()).encode("utf-8", "surrogatepass")
 
 
-def digest(form: bytes, bits: int = 128, wide: bool = False) -> str:
+def digest(form: bytes, bits: int = 128) -> str:
     """``bits`` under 128 keep the low bits only, to provoke collisions in tests."""
-    d = xxhash.xxh3_128_hexdigest(form) if bits == 128 else f"{xxhash.xxh3_128_intdigest(form) & ((1 << bits) - 1):032x}"
-    return d + hashlib.sha256(form).hexdigest() if wide else d
+    return xxhash.xxh3_128_hexdigest(form) if bits == 128 else f"{xxhash.xxh3_128_intdigest(form) & ((1 << bits) - 1):032x}"
 
 
-def exact_groups(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128, wide: bool = False) -> DataFrame:
+def suffix(form: bytes) -> str:
+    return hashlib.sha256(form).hexdigest()[:32]
+
+
+def exact_groups(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128) -> DataFrame:
     """One row per canonical form among documents that share a digest: digest, form (compressed), first doc_id, n_docs.
 
     Digests alone show which buckets hold several documents; only those
@@ -61,7 +64,7 @@ def exact_groups(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128,
 
     def add_digest(batches):
         for batch in slices(batches):
-            found = [digest(canonical(t), bits, wide) for t in batch.column(1).to_pylist()]
+            found = [digest(canonical(t), bits) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["doc_id", "text", "digest"])
 
     def add_form(batches):
@@ -80,15 +83,18 @@ def exact_groups(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128,
     return forms.groupBy("digest", "form").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
 
 
-def collisions(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128) -> dict[tuple[str, bytes], int] | None:
-    """(digest, form) -> suffix for digests that different forms share; None if there are too many."""
-    forms = exact_groups(docs, doc_id, text, bits)
-    several = [r["digest"] for r in forms.groupBy("digest").count().filter("count > 1").limit(MOST_COLLISIONS + 1).collect()]
-    if not several:
-        return {}
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy("form")) - 1
-    rows = forms.filter(F.col("digest").isin(several)).select("digest", "form", rank.alias("ordinal")).limit(MOST_COLLISIONS + 1).collect()
-    return None if max(len(rows), len(several)) > MOST_COLLISIONS else {(r["digest"], bytes(r["form"])): r["ordinal"] for r in rows}
+def collisions(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128) -> DataFrame:
+    """The digests that different forms share."""
+    return durable(exact_groups(docs, doc_id, text, bits).groupBy("digest").count().where("count > 1").select("digest"))
+
+
+def with_suffixes(marks: DataFrame, column: str, shared: DataFrame) -> DataFrame:
+    """``column`` is a digest and a suffix, of which the suffix stays for ``shared`` digests only."""
+    few = shared.limit(MOST_BROADCAST_DIGESTS + 1).count() <= MOST_BROADCAST_DIGESTS
+    side = shared.select(F.col("digest").alias("shared_digest"))
+    own = F.substring_index(column, "-", 1)
+    both = marks.join(F.broadcast(side) if few else side, own == F.col("shared_digest"), "left")
+    return both.withColumn(column, F.when(F.col("shared_digest").isNull(), own).otherwise(F.col(column))).drop("shared_digest")
 
 
 def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: int = 128) -> DataFrame:
@@ -99,7 +105,7 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
     lower bound also go to the range before, where they are the last row's next.
     """
     shared = collisions(docs, doc_id, text, bits)
-    wide, shared = shared is None, shared or {}
+    some = not shared.isEmpty()
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     n = ids.count()
     ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
@@ -134,17 +140,15 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
                 [pa.array(part, pa.int64()), pa.array(head, pa.int32()), pa.array(i_d, pa.int64()), pa.array(tie, pa.int64()), pa.array(z, pa.binary())], ["part", "head", "doc_id", "tie", "z"]
             )
 
-    def mark(form: bytes, zip_) -> str:
-        d = digest(form, bits, wide)
-        k = shared.get((d, zip_.compress(form)), 0) if shared else 0
-        return f"{d}-{k}" if k else d
+    def mark(form: bytes) -> str:
+        return f"{digest(form, bits)}-{suffix(form)}" if some else digest(form, bits)
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     )
 
     def edit(batches):
-        zip_, unzip = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        unzip = zstandard.ZstdDecompressor()
         now = None  # (part, doc_id, text, form) that waits for its next
 
         def done(cur, nxt, form):
@@ -153,7 +157,7 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
             edited = t[: len(t) - k] + nxt[:k]
             e = canonical(edited)
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            return cur[1], len(t), sha, mark(cur[3], zip_), mark(e, zip_), float(cur[3] == e), float(cur[3] == form)
+            return cur[1], len(t), sha, mark(cur[3]), mark(e), float(cur[3] == e), float(cur[3] == form)
 
         for batch in slices(batches):
             out = []
@@ -175,7 +179,11 @@ def fingerprint_with_next(docs: DataFrame, doc_id="doc_id", text="text", bits: i
 
     dealt = ids.mapInArrow(deal, "part long, head int, doc_id long, tie long, z binary")
     dealt = dealt.repartition("part").sortWithinPartitions("part", "head", "doc_id", "tie")
-    return dealt.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    if some:
+        for column in ("fingerprint", "edited_fingerprint"):
+            out = with_suffixes(out, column, shared)
+    return out.select(*schema.names)
 
 
 def op5_fingerprint(spark, sf_dir: str) -> DataFrame:
