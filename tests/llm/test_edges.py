@@ -226,6 +226,27 @@ def test_colliding_digests_stay_apart(spark):
     assert len(set(by.values())) == 30 and all(by[i] == by[i + 30] for i in range(30))
 
 
+def test_fingerprints_have_one_form_at_any_number_of_collisions(spark, monkeypatch):
+    """A suffix comes from a text's own form, whether collisions are broadcast or joined by shuffle."""
+    texts = [f"text number {i % 1500}" for i in range(1600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(fingerprint, "MOST_BROADCAST_DIGESTS", most)
+        got.append({r.doc_id: (r.fingerprint, r.edited_fingerprint) for r in fingerprint.fingerprint_with_next(df, bits=9).collect()})
+    assert got[0] == got[1] and len({x for x, _ in got[0].values()}) == 1500
+    forms = {fingerprint.canonical(t) for t in texts}
+    sharing = {}
+    for f in forms:
+        sharing.setdefault(fingerprint.digest(f, 9), []).append(f)
+    for d, (x, _) in got[0].items():
+        f = fingerprint.canonical(texts[d])
+        alone = len(sharing[fingerprint.digest(f, 9)]) == 1
+        assert x == fingerprint.digest(f, 9) + ("" if alone else "-" + fingerprint.suffix(f))
+    plain = {r.doc_id: r.fingerprint for r in fingerprint.fingerprint_with_next(df).collect()}
+    assert all(len(x) == 32 for x in plain.values())
+
+
 def test_near_duplicates(docs, none):
     out = neardup.near_duplicates(docs).collect()
     assert len(out) == docs.count()
