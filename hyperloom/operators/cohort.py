@@ -155,7 +155,11 @@ def stratum(index_date: Column, age: Column) -> Column:
 
 
 def propensity_scores(table: DataFrame, columns: list[str] = FEATURES, ridge: float = 1e-4, steps: int = 25) -> DataFrame:
-    """(obs_id, treated, score): ridge logistic regression on standardised log1p features.
+    return propensity_fit(table, columns, ridge, steps)[0]
+
+
+def propensity_fit(table: DataFrame, columns: list[str] = FEATURES, ridge: float = 1e-4, steps: int = 25) -> tuple[DataFrame, bool]:
+    """(obs_id, treated, score) and whether the steps converged: ridge logistic regression on standardised log1p features.
 
     Newton steps; each is one aggregate of (features + 1)^2 sums, so the data stay
     where they are. Standard deviations are of the population, constants become 0,
@@ -167,6 +171,7 @@ def propensity_scores(table: DataFrame, columns: list[str] = FEATURES, ridge: fl
     x = durable(logs.select("obs_id", "treated", F.lit(1.0).alias("x0"), *[scale(c).alias(f"x{k + 1}") for k, c in enumerate(columns)]))
     size = len(columns) + 1
     beta, penalty = np.zeros(size), np.diag([0.0] + [ridge] * (size - 1))
+    converged = False
     for _ in range(steps):
         eta = reduce(lambda a, b: a + b, [F.col(f"x{k}") * float(beta[k]) for k in range(size)])
         p = 1 / (1 + F.exp(-eta))
@@ -181,10 +186,11 @@ def propensity_scores(table: DataFrame, columns: list[str] = FEATURES, ridge: fl
         step = np.linalg.solve(h, g)
         beta = beta + step
         if np.abs(step).max() < 1e-10:
+            converged = True
             break
     eta = reduce(lambda a, b: a + b, [F.col(f"x{k}") * float(beta[k]) for k in range(size)])
     score = F.least(F.greatest(1 / (1 + F.exp(-eta)), F.lit(1e-8)), F.lit(1 - 1e-8))
-    return x.select("obs_id", "treated", score.alias("score"))
+    return x.select("obs_id", "treated", score.alias("score")), converged
 
 
 def greedy_match(logits, treated, ids, node, caliper: float, reuse: int) -> list[tuple[int, int, float]]:
@@ -247,6 +253,19 @@ def numbered_matches(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("match_id", F.col("treated_obs"))
 
 
+def least_matches(treated: int) -> int:
+    """Fewer matches than this are too few for a study of ``treated`` rows: a fifth, from 100 to 1,000."""
+    return max(100, min(1000, treated // 5))
+
+
+def enough_matches(matches: DataFrame, treated: int) -> DataFrame:
+    """``matches``, which is written already; an error if they are too few."""
+    found = matches.count()
+    if found < least_matches(treated):
+        raise ValueError(f"{found} matches of {treated} treated rows; a study needs {least_matches(treated)}")
+    return matches
+
+
 def index_pairs(obs: DataFrame) -> DataFrame:
     """The first control that borrowed each treated observation's date."""
     controls = obs.where("treated = 0").groupBy("treatment_id").agg(F.min("obs_id").alias("control_obs"))
@@ -409,18 +428,38 @@ def dynamics_report(dynamics: DataFrame) -> DataFrame:
     return dynamics.agg((-best["neg"]).alias("peak_day"), best["d"].alias("peak_difference"), F.avg(F.when(before, F.col("mean_difference"))).alias("mean_before"))
 
 
-def integrity_checks(cohort: DataFrame, matches: DataFrame, c: Config) -> DataFrame:
-    """(check, ok) over the matched cohort."""
-    reuse = matches.groupBy("control_obs").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("reuse"))
+def integrity_checks(
+    cohort: DataFrame, matches: DataFrame, c: Config, first: DataFrame, after: DataFrame, dynamics: DataFrame, found: DataFrame, converged: bool
+) -> DataFrame:
+    """(check, ok) over the matched cohort; first: ``first_treatment``, after: its ``balance``,
+    dynamics: its ``event_dynamics``, found: its ``effects``, converged: of ``propensity_fit``."""
+    reuse = matches.groupBy("control_obs").agg(F.count("*").alias("n")).agg((F.coalesce(F.max("n"), F.lit(0)) <= c.max_reuse).alias("reuse_cap"))
+    none = lambda bad: F.count_if(bad) == 0
+    falls = lambda p: (F.col(f"{p}_post_followers_7") > F.col(f"{p}_post_followers_30")) | (F.col(f"{p}_post_followers_30") > F.col(f"{p}_post_followers_90"))
+    week = lambda p: F.floor(F.unix_date(f"{p}_index_date") / 7)
     row = cohort.agg(
         (F.count("*") == F.count_distinct("match_id")).alias("unique_match_ids"),
         (F.count("*") == F.count_distinct("treated_obs")).alias("unique_treated"),
-        (F.count_if(F.col("t_node_id") == F.col("c_node_id")) == 0).alias("no_self_match"),
-        (F.count_if(~((F.col("t_post_followers_7") <= F.col("t_post_followers_30")) & (F.col("t_post_followers_30") <= F.col("t_post_followers_90")))) == 0).alias("monotone_treated_outcomes"),
-        (F.count_if(~((F.col("c_post_followers_7") <= F.col("c_post_followers_30")) & (F.col("c_post_followers_30") <= F.col("c_post_followers_90")))) == 0).alias("monotone_control_outcomes"),
-        (F.count_if(F.col("t_account_age_days") < c.min_account_age_days) == 0).alias("treated_age"),
-        (F.count_if(F.col("c_account_age_days") < c.min_account_age_days) == 0).alias("control_age"),
-    ).crossJoin(reuse.select((F.col("reuse") <= c.max_reuse).alias("reuse_cap")))
+        none(F.col("t_node_id") == F.col("c_node_id")).alias("no_self_match"),
+        none((week("t") != week("c")) | (F.abs(F.datediff("t_index_date", "c_index_date")) > 6)).alias("same_seven_days"),
+        none(falls("t")).alias("monotone_treated_outcomes"),
+        none(falls("c")).alias("monotone_control_outcomes"),
+        none(F.col("t_account_age_days") < c.min_account_age_days).alias("treated_age"),
+        none(F.col("c_account_age_days") < c.min_account_age_days).alias("control_age"),
+        F.count("*").alias("n"),
+    )
+    later = cohort.select(F.col("c_node_id").alias("node_id"), "c_index_date").join(first.select("node_id", "first_exposure"), "node_id")
+    parts = [
+        reuse,
+        later.agg(none(F.col("first_exposure") <= F.date_add("c_index_date", c.horizon_days)).alias("controls_unexposed")),
+        after.agg((F.coalesce(F.max(F.abs("smd_after")), F.lit(0.0)) < 0.1).alias("balance_below_a_tenth")),
+        dynamics.agg(none(F.col("relative_day") == 0).alias("no_day_zero")),
+        found.agg(F.min("pairs").alias("least"), F.max("pairs").alias("most")),
+    ]
+    for part in parts:
+        row = row.crossJoin(part)  # one row each
+    row = row.withColumn("effects_of_all_matches", F.coalesce((F.col("least") == F.col("n")) & (F.col("most") == F.col("n")), F.lit(True))).drop("n", "least", "most")
+    row = row.withColumn("propensity_converged", F.lit(converged))
     return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("ok")) for k in row.columns])))
 
 

@@ -89,7 +89,7 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
     best, best_q = labels, -1.0
     for k in range(rounds):
         seen = both.join(labels.select(F.col("node_id").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("w"))
-        top = seen.groupBy(F.col("u").alias("node_id")).agg(F.max(F.struct("w", (-F.col("community")).alias("neg"))).alias("t"), F.max_by(F.struct("community", "w"), "w").alias("any"))
+        top = seen.groupBy(F.col("u").alias("node_id")).agg(F.max(F.struct("w", (-F.col("community")).alias("neg"))).alias("t"))
         mine = seen.select(F.col("u").alias("node_id"), F.col("community"), F.col("w").alias("own"))
         joined = labels.join(mine, ["node_id", "community"], "left").join(top, "node_id")
         turn = F.pmod(F.xxhash64("node_id", F.lit(k)), F.lit(2)) == 0
@@ -141,6 +141,20 @@ def configuration_rounds(unique: DataFrame, rounds: int = 10, seed: int = 0, per
     return rows
 
 
+def configuration_invariants(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(invariant, kept): sizes of packs, degrees of members, and that no membership occurs twice."""
+
+    def same(key: str) -> DataFrame:
+        sign = before.select(key, F.lit(1).alias("k")).unionByName(after.select(key, F.lit(-1).alias("k")))
+        off = sign.groupBy(key).agg(F.sum("k").alias("k")).where("k <> 0")
+        return off.agg((F.count("*") == 0).alias("kept"))
+
+    twice = after.groupBy("pack_id", "member_id").agg(F.count("*").alias("n")).where("n > 1").agg((F.count("*") == 0).alias("kept"))
+    parts = {"pack_sizes": same("pack_id"), "member_degrees": same("member_id"), "distinct_memberships": twice}
+    named = [df.select(F.lit(name).alias("invariant"), "kept") for name, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 def top_communities(labels: DataFrame, k: int = 5) -> DataFrame:
     return community_sizes(labels).orderBy(F.desc("node_count"), "community").limit(k)
 

@@ -9,9 +9,20 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
+#: Packs of a block, about: the counts of two blocks are a matrix of this many rows and columns (134 MB).
+BLOCK_PACKS = 4096
+#: Memberships of a block, about, unless one pack has more.
+BLOCK_ROWS = 2_000_000
+#: Pairs of memberships counted at a time.
+STEP = 1_000_000
+
 
 def pack_degree_distribution(memberships: DataFrame) -> DataFrame:
     """Members by their number of raw rows."""
@@ -117,43 +128,117 @@ def projection_degree_distribution(stats: DataFrame) -> DataFrame:
     return stats.groupBy("degree").agg(F.count("*").alias("node_count"))
 
 
+def projection_check(projection: DataFrame, histogram: DataFrame) -> DataFrame:
+    """(edges, pairs, ok): the projection has as many edges as its histogram has pairs."""
+    one = projection.agg(F.count("*").alias("edges")).crossJoin(histogram.agg(F.coalesce(F.sum("pair_count"), F.lit(0)).alias("pairs")))  # one row each
+    return one.withColumn("ok", F.col("edges") == F.col("pairs"))
+
+
 def projection_edge(projection: DataFrame, a: int, b: int) -> DataFrame:
     """The weight between two nodes in either order, 0 without an edge."""
     hit = projection.where((F.col("node_a") == min(a, b)) & (F.col("node_b") == max(a, b)))
     return hit.agg(F.coalesce(F.max("cooccurrence"), F.lit(0)).cast("long").alias("cooccurrence"))
 
 
-def pack_overlaps(memberships: DataFrame) -> DataFrame:
-    """(pack_a, pack_b, overlap), pack_a < pack_b: shared rows of two packs."""
-    left = memberships.select("member_id", F.col("pack_id").alias("pack_a"))
-    right = memberships.select("member_id", F.col("pack_id").alias("pack_b"))
-    return left.join(right, "member_id").where("pack_a < pack_b").groupBy("pack_a", "pack_b").agg(F.count("*").alias("overlap"))
-
-
-def s_line_filtered(memberships: DataFrame, s_max: int = 5, max_member_degree: int = 5000) -> DataFrame:
+def block_overlaps(member: np.ndarray, pack: np.ndarray, times: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left packs, right packs, matrix of their overlaps); within one block only pairs of a lower and a higher pack count."""
+    a_packs, a_at = np.unique(pack[left], return_inverse=True)
+    b_packs, b_at = np.unique(pack[right], return_inverse=True)
+    order = np.argsort(member[right], kind="stable")
+    b_member, b_at, b_times = member[right][order], b_at[order], times[right][order]
+    low = np.searchsorted(b_member, member[left], "left")
+    n = np.searchsorted(b_member, member[left], "right") - low
+    total = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(len(a_packs) * len(b_packs), dtype=np.int64)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + STEP, "right")) - 1)
+        x = np.repeat(np.arange(at, to), n[at:to])
+        y = np.arange(total[at], total[to]) - total[x] + low[x]
+        np.add.at(out, a_at[x] * len(b_packs) + b_at[y], times[left][x] * b_times[y])
+        at = to
+    out = out.reshape(len(a_packs), len(b_packs))
+    return a_packs, b_packs, np.where(a_packs[:, None] < b_packs[None, :], out, 0) if left is right else out
+
+
+def overlaps_by_blocks(rows: DataFrame, blocks: int, s_max: int) -> DataFrame:
+    """(pack, s, pairs) from distinct (pack_id, member_id, times): rows without a pack are a histogram
+    of clipped overlaps, those with one are that pack's greatest overlap with the packs of one block."""
+
+    def cross(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        member, pack, times, at = (t[c].to_numpy() for c in ("member_id", "pack_id", "times", "block"))
+        left = at == t["i"][0].as_py()
+        right = left if t["i"][0] == t["j"][0] else ~left
+        a, b, found = block_overlaps(member, pack, times, left, right)
+        found = np.minimum(found, s_max)
+        hist = np.bincount(found.ravel(), minlength=1)
+        s = np.flatnonzero(hist[1:]) + 1
+        packs, most = np.concatenate([a, b]), np.concatenate([found.max(axis=1, initial=0), found.max(axis=0, initial=0)])
+        packs, most = packs[most > 0], most[most > 0]
+        who = pa.concat_arrays([pa.nulls(len(s), pa.int64()), pa.array(packs, pa.int64())])
+        return pa.table({"pack": who, "s": pa.array(np.concatenate([s, most]), pa.int64()), "pairs": pa.array(np.concatenate([hist[s], np.zeros(len(most))]).astype(np.int64))})
+
+    # Every block meets every block once, so a row travels once per block, and no pair does.
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("pack_id"), F.lit(blocks)))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = rows.select("member_id", "pack_id", "times", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return rows.groupBy("i", "j").applyInArrow(cross, "pack long, s long, pairs long")
+
+
+def overlaps_by_pairs(rows: DataFrame, s_max: int) -> DataFrame:
+    """The same rows by a join of memberships on their members."""
+    side = lambda k: rows.select("member_id", F.col("pack_id").alias(f"pack_{k}"), F.col("times").alias(f"times_{k}"))
+    both = side("a").join(side("b"), "member_id").where("pack_a < pack_b").groupBy("pack_a", "pack_b")
+    ends = both.agg(F.sum(F.col("times_a") * F.col("times_b")).alias("overlap")).select(
+        F.inline(F.array(F.struct(F.col("pack_a").alias("pack"), F.lit(1).alias("first")), F.struct(F.col("pack_b").alias("pack"), F.lit(0).alias("first")))), F.least("overlap", F.lit(s_max)).alias("s")
+    )
+    # One row per pack and overlap: the histogram is a sum of them, the greatest overlap their maximum.
+    ends = durable(ends.groupBy("pack", "s").agg(F.sum("first").alias("pairs")))
+    hist = ends.groupBy("s").agg(F.sum("pairs").alias("pairs")).select(F.lit(None).cast("long").alias("pack"), "s", "pairs")
+    return hist.unionByName(ends.groupBy("pack").agg(F.max("s").alias("s")).select("pack", "s", F.lit(0).cast("long").alias("pairs")))
+
+
+def s_line_filtered(memberships: DataFrame, s_max: int = 5, max_member_degree: int = 5000, blocks: int | None = None) -> DataFrame:
     """(s, edges, nodes) over raw rows of members with at most ``max_member_degree`` rows; no rows without overlaps."""
-    if s_max < 1 or max_member_degree < 2:
-        raise ValueError("s_max must be at least 1 and max_member_degree at least 2")
-    some = memberships.groupBy("member_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_member_degree)).select("member_id")
-    return _s_line(pack_overlaps(memberships.join(some, "member_id")), s_max)
+    if s_max < 1:
+        raise ValueError(f"no threshold up to s_max={s_max}")
+    if max_member_degree < 2:
+        raise ValueError(f"members of {max_member_degree} rows make no pair")
+    return _s_line(memberships, s_max, max_member_degree, blocks)
 
 
-def s_line_full(unique: DataFrame, s_max: int = 345) -> DataFrame:
+def s_line_full(unique: DataFrame, s_max: int = 345, blocks: int | None = None) -> DataFrame:
     """(s, edges, nodes) over distinct memberships without a degree limit."""
     if not 1 <= s_max <= 65_535:
-        raise ValueError("s_max must be in 1..65535")
-    return _s_line(pack_overlaps(unique), s_max)
+        raise ValueError(f"s_max={s_max} is not from 1 to 65535")
+    return _s_line(unique, s_max, None, blocks)
 
 
-def _s_line(overlaps: DataFrame, s_max: int) -> DataFrame:
+def _s_line(memberships: DataFrame, s_max: int, most: int | None, blocks: int | None) -> DataFrame:
     """Pairs fold into a histogram of clipped overlaps and packs into one of their greatest;
-    sums from above give the counts for every threshold."""
-    ends = overlaps.select(F.explode(F.array("pack_a", "pack_b")).alias("pack"), F.least("overlap", F.lit(s_max)).alias("s"))
-    packs = ends.groupBy("pack").agg(F.max("s").alias("s"))
-    by_pack = packs.groupBy("s").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("e"))
-    by_pair = ends.groupBy("s").agg(F.lit(0).cast("long").alias("n"), (F.count("*") / 2).cast("long").alias("e"))
-    spark = overlaps.sparkSession
-    grid = spark.range(1, s_max + 1).select(F.col("id").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e"))
+    sums from above give the counts for every threshold.
+
+    With ``blocks`` None the rows go the way that moves less: a row per block, or a row per
+    pair of memberships of a member. 0 means pairs; any other number is that of the blocks.
+    """
+    rows = durable(memberships.where("pack_id IS NOT NULL").groupBy("pack_id", "member_id").agg(F.count("*").alias("times")))
+    # Sums of rows for the limit, of packs for what moves.
+    degrees = rows.groupBy("member_id").agg(F.sum("times").alias("n"), F.count("*").alias("d")).where("n > 1" + (f" AND n <= {most}" if most else ""))
+    degrees = durable(degrees.where("d > 1"))
+    rows = durable(rows.join(degrees.select("member_id"), "member_id", "left_semi"))
+    if blocks is None:
+        d = F.col("d").cast("double")
+        size = degrees.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("rows"), F.coalesce(F.sum(d * (d - 1) / 2), F.lit(0.0)).alias("pairs")).first()
+        packs = rows.select("pack_id").distinct().count()
+        blocks = max(1, math.ceil(packs / BLOCK_PACKS), math.ceil(size["rows"] / BLOCK_ROWS))
+        blocks = 0 if size["pairs"] < size["rows"] * blocks else blocks
+    found = durable(overlaps_by_blocks(rows, blocks, s_max) if blocks else overlaps_by_pairs(rows, s_max))
+    zero = F.lit(0).cast("long")
+    packs = found.where("pack IS NOT NULL").groupBy("pack").agg(F.max("s").alias("s"))
+    by_pack = packs.groupBy("s").agg(F.count("*").alias("n"), zero.alias("e"))
+    by_pair = found.where("pack IS NULL").groupBy("s").agg(zero.alias("n"), F.sum("pairs").alias("e"))
+    grid = memberships.sparkSession.range(1, s_max + 1).select(F.col("id").alias("s"), zero.alias("n"), zero.alias("e"))
     hist = by_pack.unionByName(by_pair).unionByName(grid).groupBy("s").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))  # at most s_max rows
     above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

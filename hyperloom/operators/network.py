@@ -107,3 +107,12 @@ def top_nodes(degrees: DataFrame, column: str, limit: int = 20) -> DataFrame:
 
 def busiest_days(volume: DataFrame, limit: int = 20) -> DataFrame:
     return volume.orderBy(F.desc("follow_count"), "date_followed").limit(limit)
+
+
+def check_endpoints(follows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``follows``; an error if an end is beyond the greatest node."""
+    last = nodes.agg(F.max("node_id")).first()[0]
+    most = follows.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    if most is not None and (last is None or most > last):
+        raise ValueError(f"a follow ends at {most}, the last node is {last}")
+    return follows

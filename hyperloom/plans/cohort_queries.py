@@ -79,9 +79,13 @@ class Study:
     def table(self):
         return c.durable(c.features(self.obs, self.incoming, self.outgoing))
 
+    @cached_property
+    def fit(self):
+        return c.propensity_fit(self.table)
+
     @cached_property
     def scores(self):
-        return c.propensity_scores(self.table)
+        return self.fit[0]
 
     @cached_property
     def matches(self):
@@ -181,6 +185,13 @@ def _s(step):
     return build
 
 
+def checks(s: Study):
+    matches = s.matches
+    cohort = c.durable(c.matched_cohort(matches, s.table))
+    found, dynamics = c.effects(cohort), c.event_dynamics(cohort, s.t.follows)
+    return c.integrity_checks(cohort, matches, s.config, s.first, c.balance(s.table, matches), dynamics, found, s.fit[1])
+
+
 def _full(build):
     return lambda t: build(t, FULL)
 
@@ -223,7 +234,7 @@ DEFS: dict[str, tuple] = {
         _s(lambda s: _r(c.dynamics_report(c.event_dynamics(s.cohort, s.t.follows)), "peak_difference", "mean_before")),
         COHORT + DYN + " SELECT arg_max(relative_day, (round(a - b, 12), -relative_day)) FILTER (relative_day > 0) AS peak_day, round(max(a - b) FILTER (relative_day > 0), 6) AS peak_difference, round(avg(a - b) FILTER (relative_day < 0), 6) AS mean_before FROM dy",
     ),
-    "cohort_checks": (_s(lambda s: c.integrity_checks(c.matched_cohort(s.matches, s.table), s.matches, s.config)), None),
+    "cohort_checks": (_s(checks), None),
     "extreme_pairs": (
         _s(lambda s: c.extreme_pairs(s.cohort)),
         COHORT + " SELECT match_id, t.node_id AS t_node_id, k.node_id AS c_node_id, t.post_followers_90 - k.post_followers_90 AS difference FROM mc ORDER BY 4 DESC, 1 LIMIT 100",

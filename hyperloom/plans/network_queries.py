@@ -8,6 +8,7 @@ from ..functions import persons
 from ..operators import community, hyper, kcore, network, ranking, scc
 from ..operators.components import connected_components
 from ..sources.crosswalk import Tables
+from ..storage import durable
 
 #: A person with many follows at every scale, and a second one.
 A, B = 7, 11
@@ -63,7 +64,7 @@ def person_sql(query: str):
 
 
 def configuration(t: Tables):
-    """Entropy of the randomised memberships beside invariants that must hold."""
+    """Entropy of the randomised memberships; ``configuration_invariants`` has what must hold."""
     return community.edge_entropy(community.configuration_rounds(t.unique_memberships), t.labels)
 
 
@@ -71,6 +72,20 @@ def communities(t: Tables):
     return community.communities(projection(t))
 
 
+def wcc(t: Tables):
+    return connected_components(network.check_endpoints(t.follows, t.nodes), "src", "dst")
+
+
+def invariants(t: Tables):
+    before = durable(t.unique_memberships)
+    return community.configuration_invariants(before, community.configuration_rounds(before))
+
+
+def projection_giant(t: Tables):
+    edges = durable(projection(t).select("node_a", "node_b"))
+    return community.giant_component(edges, connected_components(edges, "node_a", "node_b"))
+
+
 DEFS: dict[str, tuple] = {
     # name: (function of Tables, SQL after the shared CTEs or None, recursive)
     "node_creation_volume": (lambda t: network.node_creation_volume(t.nodes), "SELECT date_created, count(*) AS account_count FROM nodes WHERE date_created IS NOT NULL GROUP BY 1"),
@@ -137,6 +152,19 @@ DEFS: dict[str, tuple] = {
         s_line_sql("(SELECT * FROM memberships WHERE member_id IN (SELECT member_id FROM memberships GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30))", 5),
     ),
     "s_line_full": (lambda t: hyper.s_line_full(t.unique_memberships, 20), s_line_sql("unique_memberships", 20)),
+    # The two ways that rows can go, at any size.
+    "s_line_full_blocks": (lambda t: hyper.s_line_full(t.unique_memberships, 20, blocks=6), s_line_sql("unique_memberships", 20)),
+    "s_line_full_pairs": (lambda t: hyper.s_line_full(t.unique_memberships, 20, blocks=0), s_line_sql("unique_memberships", 20)),
+    "projection_check": (
+        lambda t: hyper.projection_check(projection(t), hyper.cooccurrence_histogram(projection(t))),
+        PAIRS + " SELECT count(*) AS edges, count(*) AS pairs, true AS ok FROM p",
+    ),
+    "projection_giant_component": (
+        projection_giant,
+        PAIRS + ", e AS (SELECT node_a AS a, node_b AS b FROM p UNION SELECT node_b, node_a FROM p)" + LEAST + """, best AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+        SELECT node_a, node_b FROM p JOIN comp ON node_a = node JOIN best USING (component)""",
+        True,
+    ),
     "s_line_density": (
         lambda t: _round(hyper.s_line_density(hyper.s_line_full(t.unique_memberships, 3), t.packs.count()), "density", digits=12),
         s_line_sql("unique_memberships", 3).replace("SELECT s, (SELECT count(*) FROM o WHERE overlap >= s) AS edges", ", z AS (SELECT s, (SELECT count(*) FROM o WHERE overlap >= s) AS edges")
@@ -169,7 +197,7 @@ DEFS: dict[str, tuple] = {
     ),
     "community_sizes": (lambda t: community.community_sizes(t.labels), "SELECT community, count(*) AS node_count FROM node_labels GROUP BY 1"),
     "top_communities": (lambda t: community.top_communities(t.labels), "SELECT community, count(*) AS node_count FROM node_labels GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
-    "follow_wcc": (lambda t: kcore.size_histogram(connected_components(t.follows, "src", "dst")), REACH + SIZES, True),
+    "follow_wcc": (lambda t: kcore.size_histogram(wcc(t)), REACH + SIZES, True),
     "pack_components": (lambda t: kcore.size_histogram(kcore.pack_components(t.unique_memberships)), PACK_REACH + SIZES, True),
     "follow_scc": (lambda t: kcore.size_histogram(scc.strongly_connected_components(t.follows)), REACH_DIRECTED + SIZES, True),
     # No part of it in one task, at any size.
@@ -185,7 +213,9 @@ DEFS: dict[str, tuple] = {
     "kcore_monotone": (lambda t: kcore.monotone_core(t.unique_memberships), None),
     "kcore_local_updates": (lambda t: kcore.local_updates(t.unique_memberships), None),
     "configuration_model": (configuration, None),
+    "configuration_invariants": (invariants, "SELECT unnest(['pack_sizes', 'member_degrees', 'distinct_memberships']) AS invariant, true AS kept"),
     "communities": (communities, None),
+    "communities_agreement": (lambda t: _round(community.agreement(community.label_contingency(communities(t), t.labels)), "nmi", "ari", digits=9), None),
     "kendall_topk": (
         lambda t: ranking.top_common(degrees(t), t.memberships, 1000),
         DEGREES + """ SELECT node_id, follow_degree, pack_degree FROM (SELECT node_id, in_degree + out_degree AS follow_degree FROM d ORDER BY 2 DESC, 1 LIMIT 1000)

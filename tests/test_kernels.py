@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -274,3 +275,61 @@ def test_greedy_match_against_a_plain_version():
                 used[best] = used.get(best, 0) + 1
                 want.append((int(ids[k]), int(ids[best]), float(d)))
         assert greedy_match(z, treated, ids, node, caliper, reuse) == want
+
+
+@pytest.mark.parametrize("blocks", [0, 1, 3, None])
+def test_overlaps_by_blocks_and_by_pairs_against_counting(spark, blocks):
+    rng = np.random.default_rng(5)
+    # Member 0 is in every pack, and rows repeat.
+    rows = [(p, 0) for p in range(40)] + [(int(p), int(m)) for p, m in zip(rng.integers(0, 40, 400), rng.integers(1, 25, 400), strict=True)] + [(41, 99), (None, 3), (3, None)]
+    df = spark.createDataFrame(rows, "pack_id long, member_id long")
+
+    def plain(rows, most, s_max):
+        times = Counter(r for r in rows if None not in r)
+        size = Counter()
+        for (_, m), n in times.items():
+            size[m] += n
+        overlap = Counter()
+        for (p, m), n in times.items():
+            for (q, k), o in times.items():
+                if m == k and p < q and size[m] <= most:
+                    overlap[p, q] += n * o
+        return {s: (sum(v >= s for v in overlap.values()), len({p for e, v in overlap.items() if v >= s for p in e})) for s in range(1, s_max + 1)}
+
+    got = lambda x: {r["s"]: (r["edges"], r["nodes"]) for r in x.collect()}
+    assert got(hyper.s_line_full(df.distinct(), 9, blocks)) == plain(set(rows), 10**9, 9)
+    assert got(hyper.s_line_filtered(df, 6, 20, blocks)) == plain(rows, 20, 6)
+
+
+def test_block_overlaps_in_steps(monkeypatch):
+    member, pack = np.array([1, 1, 1, 2, 2, 3]), np.array([10, 11, 12, 10, 12, 11])
+    left = np.isin(pack, [10, 11])
+    whole = hyper.block_overlaps(member, pack, np.ones(6, dtype=np.int64), left, ~left)
+    monkeypatch.setattr(hyper, "STEP", 1)
+    parts = hyper.block_overlaps(member, pack, np.ones(6, dtype=np.int64), left, ~left)
+    assert whole[2].tolist() == parts[2].tolist() == [[2], [1]]
+
+
+def test_endpoints_beyond_the_last_node_are_an_error(spark):
+    nodes = spark.createDataFrame([(1,), (5,)], "node_id long")
+    follows = spark.createDataFrame([(1, 5)], "src long, dst long")
+    assert network.check_endpoints(follows, nodes).count() == 1
+    with pytest.raises(ValueError, match="last node"):
+        network.check_endpoints(spark.createDataFrame([(1, 6)], "src long, dst long"), nodes)
+    assert network.check_endpoints(follows.limit(0), nodes.limit(0)).count() == 0
+
+
+def test_invariants_see_a_change(spark):
+    before = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "pack_id long, member_id long")
+    seen = lambda rows: {r[0]: r[1] for r in community.configuration_invariants(before, spark.createDataFrame(rows, before.schema)).collect()}
+    assert all(seen([(1, 1), (1, 2), (2, 1)]).values())
+    assert seen([(1, 1), (1, 1), (2, 2)]) == {"pack_sizes": True, "member_degrees": True, "distinct_memberships": False}
+    assert seen([(1, 1), (2, 2), (2, 1)])["pack_sizes"] is False
+    assert seen([(1, 3), (1, 2), (2, 1)])["member_degrees"] is False
+
+
+def test_too_few_matches_are_an_error(spark):
+    assert [cohort.least_matches(n) for n in (10, 2000, 10**6)] == [100, 400, 1000]
+    assert cohort.enough_matches(spark.range(100), 400).count() == 100
+    with pytest.raises(ValueError, match="99 matches"):
+        cohort.enough_matches(spark.range(99), 400)
