@@ -89,7 +89,7 @@ class Study:
 
     @cached_property
     def matches(self):
-        return c.durable(c.match(self.table, self.scores, self.config))
+        return c.enough_matches(c.durable(c.match(self.table, self.scores, self.config)), self.treated.count())
 
     @cached_property
     def pairs(self):
