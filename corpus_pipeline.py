@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.
+
+Defined cases: a null or empty text has no words, so the rules reject it; very long
+texts go whole through every stage; null ids, sources and languages are kept, a null
+source is a source of its own; of repeated rows and copies that of the least id stays
+(null ids last); an empty table, or one whose documents all go, gives no rows; more
+columns, whatever their names, stay up to the last stage, whose rows are one per copy
+that mixing made: several of one document differ in batch and slot.
 """
 
 from __future__ import annotations
