@@ -220,19 +220,20 @@ def _s_line(memberships: DataFrame, s_max: int, most: int | None, blocks: int |
     sums from above give the counts for every threshold.
 
     With ``blocks`` None the rows go the way that moves less: a row per block, or a row per
-    pair of memberships of a member. 0 means pairs; any other number is that of the blocks.
+    pair of memberships of a member. 0 means pairs; any other number is the least of blocks.
     """
     rows = durable(memberships.where("pack_id IS NOT NULL").groupBy("pack_id", "member_id").agg(F.count("*").alias("times")))
     # Sums of rows for the limit, of packs for what moves.
     degrees = rows.groupBy("member_id").agg(F.sum("times").alias("n"), F.count("*").alias("d")).where("n > 1" + (f" AND n <= {most}" if most else ""))
     degrees = durable(degrees.where("d > 1"))
     rows = durable(rows.join(degrees.select("member_id"), "member_id", "left_semi"))
-    if blocks is None:
+    if blocks != 0:
         d = F.col("d").cast("double")
         size = degrees.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("rows"), F.coalesce(F.sum(d * (d - 1) / 2), F.lit(0.0)).alias("pairs")).first()
         packs = rows.select("pack_id").distinct().count()
-        blocks = max(1, math.ceil(packs / BLOCK_PACKS), math.ceil(size["rows"] / BLOCK_ROWS))
-        blocks = 0 if size["pairs"] < size["rows"] * blocks else blocks
+        least = max(1, math.ceil(packs / BLOCK_PACKS), math.ceil(size["rows"] / BLOCK_ROWS))
+        # Fewer blocks than these would not fit into a task.
+        blocks = max(blocks, least) if blocks else 0 if size["pairs"] < size["rows"] * least else least
     found = durable(overlaps_by_blocks(rows, blocks, s_max) if blocks else overlaps_by_pairs(rows, s_max))
     zero = F.lit(0).cast("long")
     packs = found.where("pack IS NOT NULL").groupBy("pack").agg(F.max("s").alias("s"))
