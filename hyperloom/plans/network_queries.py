@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import persons
-from ..operators import community, hyper, kcore, network, ranking, scc
+from ..operators import community, hyper, kcore, leiden, network, ranking, scc
 from ..operators.components import connected_components
 from ..sources.crosswalk import Tables
 from ..storage import durable
@@ -86,6 +86,18 @@ def projection_giant(t: Tables):
     return community.giant_component(edges, connected_components(edges, "node_a", "node_b"))
 
 
+def leiden_giant(t: Tables):
+    return leiden.leiden(projection_giant(t))
+
+
+def leiden_summary(t: Tables):
+    """Modularity of the communities and their agreement with the labels, one row."""
+    edges = durable(projection_giant(t))
+    labels = durable(leiden.leiden(edges))
+    alike = community.agreement(community.label_contingency(labels, t.labels))
+    return _round(community.modularity(edges, labels).crossJoin(alike), "modularity", "nmi", "ari", digits=9)  # one row each
+
+
 DEFS: dict[str, tuple] = {
     # name: (function of Tables, SQL after the shared CTEs or None, recursive)
     "node_creation_volume": (lambda t: network.node_creation_volume(t.nodes), "SELECT date_created, count(*) AS account_count FROM nodes WHERE date_created IS NOT NULL GROUP BY 1"),
@@ -215,6 +227,8 @@ DEFS: dict[str, tuple] = {
     "configuration_model": (configuration, None),
     "configuration_invariants": (invariants, "SELECT unnest(['pack_sizes', 'member_degrees', 'distinct_memberships']) AS invariant, true AS kept"),
     "communities": (communities, None),
+    "leiden": (leiden_giant, None),
+    "leiden_summary": (leiden_summary, None),
     "communities_agreement": (lambda t: _round(community.agreement(community.label_contingency(communities(t), t.labels)), "nmi", "ari", digits=9), None),
     "kendall_topk": (
         lambda t: ranking.top_common(degrees(t), t.memberships, 1000),
