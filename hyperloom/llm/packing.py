@@ -2,10 +2,8 @@
 
 Lengths are tokens of ``tokenizer`` where one is given, else ``length``, else words.
 Padding a batch to its bucket's limit wastes limit - length per document. The
-lengths' histogram over the whole corpus goes to the driver: exact if there are at
-most ``BINS`` distinct lengths, else in at most as many bins (exact up to ``EXACT``,
-then of a relative width of 1/64 at most, so that a bucket's limit may exceed its
-longest text by that much). Dynamic programming finds the limits that waste least. Every document is
+lengths' exact histogram over the whole corpus goes to the driver: T tokens have fewer
+than sqrt(2 T) + 1 distinct lengths. Dynamic programming finds the limits that waste least. Every document is
 then ranked inside its bucket, in hash order, and every ``budget // limit``
 documents form a batch. The ranks come from shards of bounded size and their
 running counts, never from one window over a bucket.
@@ -20,6 +18,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -53,39 +52,57 @@ def bin_top(length: Column) -> Column:
 def best_limits(tops: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Limits of at most ``buckets`` groups of neighbouring bins with the least padding.
 
-    cost(i, j) = top_j * (N_j - N_i) - (S_j - S_i) over prefix sums; the terms that
-    hold no i leave a minimum of f(i) - top_j * N_i, taken for all j at once.
+    cost(i, j) = top_j * (N_j - N_i) - (S_j - S_i) over prefix sums; the terms that hold no i
+    leave a minimum of f(i) - top_j * N_i: lines in top_j, whose lower envelope is walked once
+    per bucket, so time goes with bins times buckets. Ties go to the least i.
     """
-    tops, counts = np.asarray(tops, dtype=np.float64), np.asarray(counts, dtype=np.float64)
+    tops, counts = [int(x) for x in tops], [int(x) for x in counts]
     m = len(tops)
     if m == 0:
         return []
-    n = np.concatenate([[0.0], np.cumsum(counts)])
-    best = np.concatenate([[0.0], np.full(m, np.inf)])
+    n = [0, *accumulate(counts)]
+    best: list[int | None] = [0] + [None] * m
     cuts = []
     for _ in range(min(buckets, m)):
-        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=np.int64)
-        new[0] = 0.0
+        new, cut = [0] + [None] * m, [0] * (m + 1)
+        hull: list[int] = []
+        at = 0
         for j in range(1, m + 1):
-            total = best[:j] - tops[j - 1] * n[:j]
-            cut[j] = int(np.argmin(total))
-            new[j] = total[cut[j]] + tops[j - 1] * n[j]
+            if best[j - 1] is not None:
+                c = j - 1
+                while hull and n[hull[-1]] == n[c] and best[c] < best[hull[-1]]:
+                    hull.pop()
+                if not hull or n[hull[-1]] != n[c]:
+                    while len(hull) > 1:
+                        a, b = hull[-2], hull[-1]
+                        # b is never strictly best if c meets a no later than b does.
+                        if (best[c] - best[a]) * (n[b] - n[a]) > (best[b] - best[a]) * (n[c] - n[a]):
+                            break
+                        hull.pop()
+                    hull.append(c)
+                at = min(at, len(hull) - 1)
+            top = tops[j - 1]
+            value = lambda i: best[i] - top * n[i]  # noqa: E731, B023
+            while at + 1 < len(hull) and value(hull[at + 1]) < value(hull[at]):
+                at += 1
+            cut[j] = hull[at]
+            new[j] = value(hull[at]) + top * n[j]
         cuts.append(cut)
         best = new
     limits, j = [], m
     for cut in reversed(cuts):
         if j == 0:
             break
-        limits.append(int(tops[j - 1]))
-        j = int(cut[j])
+        limits.append(tops[j - 1])
+        j = cut[j]
     return limits[::-1]
 
 
-def length_histogram(lengths: DataFrame, length="length", most: int = BINS) -> list[tuple[int, int]]:
-    """(greatest length, count) of every bin, ascending; a bin is one length where there are few."""
+def length_histogram(lengths: DataFrame, length="length", most: int | None = None) -> list[tuple[int, int]]:
+    """(length, count), ascending: exact at any size, unless the caller asks for bins beyond ``most`` lengths."""
     exact = lengths.groupBy(F.col(length).alias("top")).agg(F.count("*").alias("n"))
-    found = exact.limit(most + 1).collect()
-    if len(found) > most:
+    found = exact.collect() if most is None else exact.limit(most + 1).collect()
+    if most is not None and len(found) > most:
         found = exact.groupBy(bin_top(F.col("top")).alias("top")).agg(F.sum("n").alias("n")).collect()
     return sorted((r["top"], r["n"]) for r in found)
 
