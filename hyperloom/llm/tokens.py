@@ -7,7 +7,8 @@ space or line feed is a safe boundary: no token and no normalisation crosses it.
 There a text longer than a group is cut at such boundaries into parts of a group's
 size, texts are counted as the sum over their pieces, each distinct piece of a
 group is encoded once, and a bounded table remembers short pieces' counts. Pieces
-are told apart without case and final mark where that can't change the count.
+are told apart without case and final marks where that can't change the count, and
+pieces of letters only go to the library's model without its cutting of texts.
 Other tokenizers get whole texts.
 
 Defined cases: a null text counts as empty (0 tokens, 0 bytes); null ids and
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ LIMIT = 2048
 GROUP_BYTES = 1 << 19
 #: Pieces up to this many characters are remembered, and so many of them per worker.
 SHORT, REMEMBERED = 32, 1_000_000
-#: After a letter or number each of these is a token of its own for tokenizers that cut at classes of characters.
-MARKS = frozenset(".,;:!?")
+#: After a letter or number a piece's final run of these is cut off by tokenizers that cut at classes of characters.
+MARKS = string.punctuation
 #: Letters and numbers before this one stay one character when composed or put in lower case.
 LAST_PLAIN = "\u0130"
 
@@ -48,6 +51,7 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.known: dict[str, int] = {}
         self.splits = self.folds = False
+        self.marks, self.letters = "", None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -64,35 +68,79 @@ class Counter:
                 spec = json.load(f)
             self.splits = drops_space(spec)
             self.folds = self.splits and cuts_at_classes(spec)
+            added = "".join(t["content"] for t in spec.get("added_tokens", []))
+            if self.folds:
+                self.marks = "".join(c for c in MARKS if c not in added)
+            if self.folds and letters_to_bytes(spec):
+                self.letters = model.model.tokenize
 
     def pieces(self, text: str) -> list[str]:
         """Parts between spaces, in lower case where the tokenizer does the same."""
-        if self.folds and text.isascii() and "<|" not in text:
+        if self.folds and is_latin(text) and "<|" not in text:
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
+    def encoded(self, pieces: list[str]) -> Iterator[tuple[str, int]]:
+        """Pieces and their counts: letters of Latin-1 stay whole, and their bytes are what the model gets."""
+        if self.letters is None:
+            return zip(pieces, self.encode(pieces), strict=True)
+        counts, rest = [], []
+        for p in pieces:
+            if not p.isalpha():
+                rest.append(p)
+            elif p.isascii():
+                counts.append((p, len(self.letters(p.lower()))))
+            elif is_latin(p):
+                counts.append((p, len(self.letters(p.lower().encode().decode("latin-1").translate(BYTE_SIGNS)))))
+            else:
+                rest.append(p)
+        return chain(counts, zip(rest, self.encode(rest), strict=True))
+
     def count(self, texts: list[str]) -> list[int]:
         if not self.splits:
             return self.encode(texts)
         pieces = [self.pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, extra = self.known, {}
+        known = self.known
         new = set().union(*pieces).difference(known)
-        marked: list[str] = []
-        if self.folds:
-            # "word," has the tokens of "word" and of ",".
-            marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalnum() and p[-2] < LAST_PLAIN and len(p) <= SHORT]
-            new.difference_update(marked)
-            new.update({p[:-1] for p in marked}.difference(known), MARKS.difference(known))
-        todo = list(new)
-        for piece, n in zip(todo, self.encode(todo), strict=True):
-            (known if len(piece) <= SHORT else extra)[piece] = n
-        for piece in marked:
-            known[piece] = known[piece[:-1]] + known[piece[-1]]
-        if extra:
-            return [sum(known[p] if p in known else extra[p] for p in ps) for ps in pieces]
-        return [sum(map(known.__getitem__, ps)) for ps in pieces]
+        marked: list[tuple[str, str, str]] = []
+        if self.marks:
+            # "word,&" has the tokens of "word" and of ",&".
+            for p in new:
+                if len(p) <= SHORT and (base := p.rstrip(self.marks)) and len(base) < len(p) and base[-1].isalnum() and base[-1] < LAST_PLAIN:
+                    marked.append((p, base, p[len(base) :]))
+            new.difference_update(p for p, _, _ in marked)
+            new.update({x for _, *both in marked for x in both}.difference(known))
+        known.update(self.encoded(list(new)))
+        for p, base, tail in marked:
+            known[p] = known[base] + known[tail]
+        counts = [sum(map(known.__getitem__, ps)) for ps in pieces]
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
+        return counts
+
+
+def is_latin(text: str) -> bool:
+    """Whether all is Latin-1: there lower case changes letters one by one, and composition nothing."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _byte_signs() -> dict[int, int]:
+    """The letters that byte-level tokenizers write for bytes: printable ones are themselves, others go from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_SIGNS = _byte_signs()
 
 
 def drops_space(spec: dict) -> bool:
@@ -120,6 +168,15 @@ def cuts_at_classes(spec: dict) -> bool:
     return any(x.get("type") == "Lowercase" for x in steps) and pattern.split("|")[-3:] == classes and all(x.startswith("'") for x in pattern.split("|")[:-3])
 
 
+def letters_to_bytes(spec: dict) -> bool:
+    """Whether letters in lower case reach a byte-level model as their bytes, nothing added."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    simple = all(x.get("type") in ("NFC", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == {"Regex": r"\s+"}) for x in steps)
+    after = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])[1:]
+    level = len(after) == 1 and after[0].get("type") == "ByteLevel" and not after[0].get("add_prefix_space", True) and not after[0].get("use_regex", True)
+    return simple and level and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not any(t["content"].isalpha() for t in spec.get("added_tokens", []))
+
+
 def _counter(path: str) -> Counter:
     if path not in _COUNTERS:
         _COUNTERS[path] = Counter(path)
