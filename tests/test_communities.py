@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hyperloom.operators import community
+from hyperloom.operators import community, hyper
 
 
 def test_edges_are_made_once_and_the_best_round_counts(spark):
@@ -39,3 +39,10 @@ def test_edges_are_made_once_and_the_best_round_counts(spark):
             best, best_q = label, q
     assert found == best
     assert community.communities(edges.limit(0)).count() == 0
+
+
+def test_the_projection_has_every_pair_of_a_large_pack(spark):
+    n = 4_070
+    df = spark.range(n).selectExpr("1L AS pack_id", "id AS member_id").unionByName(spark.range(2).selectExpr("2L AS pack_id", "id AS member_id"))
+    pairs = hyper.pair_weights(df)
+    assert tuple(pairs.agg(F.count("*"), F.sum("cooccurrence")).first()) == (n * (n - 1) // 2, n * (n - 1) // 2 + 1)
