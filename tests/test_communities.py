@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hyperloom.operators import community, hyper
+from hyperloom.operators.components import components_on_arrays, connected_components
 
 
 def test_edges_are_made_once_and_the_best_round_counts(spark):
@@ -46,3 +48,24 @@ def test_the_projection_has_every_pair_of_a_large_pack(spark):
     df = spark.range(n).selectExpr("1L AS pack_id", "id AS member_id").unionByName(spark.range(2).selectExpr("2L AS pack_id", "id AS member_id"))
     pairs = hyper.pair_weights(df)
     assert tuple(pairs.agg(F.count("*"), F.sum("cooccurrence")).first()) == (n * (n - 1) // 2, n * (n - 1) // 2 + 1)
+
+
+def test_labels_at_the_workers_equal_those_by_joins(spark):
+    rng = random.Random(7)
+    pairs = sorted({tuple(sorted(rng.sample(range(0, 900, 3), 2))) for _ in range(1500)})
+    edges = spark.createDataFrame([(a, b, 1 + (a * b) % 4) for a, b in pairs], "node_a long, node_b long, cooccurrence long")
+    want = community.communities(edges, rounds=5, most_labels=0).collect()
+    got = community.communities(edges, rounds=5).collect()
+    assert sorted(got) == sorted(want) and len(got) == len({x for e in pairs for x in e})
+    w = np.array([1, 1, 2, 3, 3])
+    new, inside = community.next_labels(np.array([1, 2, 0, 0, 1]), w, np.array([2, 1, 2]), np.array([0, 1, 2]), np.array([True, True, False]), np.arange(3))
+    assert new.tolist() == [1, 0, 2] and inside.tolist() == [0, 0, 0]
+
+
+def test_components_on_arrays_equal_those_by_rounds(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(500, 500), (None, 3), (4, None)] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = sorted(connected_components(edges).collect())
+    assert sorted(components_on_arrays(edges).collect()) == want
+    assert sorted(components_on_arrays(edges, most_local=3).collect()) == want
